@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from sortweave.llm import hilbert_pack, orc_ids
+from sortweave.llm import hilbert_pack, orc_ids, simhash
 
 QUERIES = {
     f.__name__: f
     for f in (
         hilbert_pack.op1_hilbert_pack,
+        simhash.op5_simhash_anchor_dedup,
         orc_ids.op6_orc_token_ids,
     )
 }
