@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sortweave.llm import hilbert_pack, orc_ids, simhash
+from sortweave.llm import curriculum, hilbert_pack, orc_ids, simhash, warc_index
 
 QUERIES = {
     f.__name__: f
@@ -10,6 +10,8 @@ QUERIES = {
         hilbert_pack.op1_hilbert_pack,
         simhash.op5_simhash_anchor_dedup,
         orc_ids.op6_orc_token_ids,
+        warc_index.op8_warc_index_merge,
+        curriculum.op9_curriculum_mix,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_warc_index_merge": warc_index.OP8_SQL, "op9_curriculum_mix": curriculum.OP9_SQL}

@@ -42,7 +42,7 @@ class Encoder:
     in one, are encoded whole.
     """
 
-    def __init__(self, data: bytes, most: int = 600_000):
+    def __init__(self, data: bytes, most: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(data)
@@ -87,8 +87,8 @@ class Encoder:
         out, ends = [], [0]
         step, sizes = 1, pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
         at = 0
-        while at < len(texts):  # a few MB of text at a time
-            step = max(1, int(np.searchsorted(np.cumsum(sizes[at : at + 20_000]), 4 << 20)))
+        while at < len(texts):  # 3 MB of text at a time
+            step = max(1, int(np.searchsorted(np.cumsum(sizes[at : at + 20_000]), 3 << 20)))
             ids, offsets = self._some(texts.slice(at, step))
             out.append(ids)
             ends.extend((offsets[1:] + ends[-1]).tolist())
