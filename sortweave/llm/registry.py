@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sortweave.llm import curriculum, hilbert_pack, orc_ids, simhash, warc_index
+from sortweave.llm import curriculum, hilbert_pack, kmeans_dedup, orc_ids, simhash, warc_index
 
 QUERIES = {
     f.__name__: f
@@ -12,6 +12,7 @@ QUERIES = {
         orc_ids.op6_orc_token_ids,
         warc_index.op8_warc_index_merge,
         curriculum.op9_curriculum_mix,
+        kmeans_dedup.op10_spherical_kmeans_dedup,
     )
 }
 ORACLES: dict[str, str] = {"op8_warc_index_merge": warc_index.OP8_SQL, "op9_curriculum_mix": curriculum.OP9_SQL}
