@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sortweave.llm import curriculum, hilbert_pack, kmeans_dedup, orc_ids, simhash, warc_index
+from sortweave.llm import curriculum, hilbert_pack, kmeans_dedup, language_id, orc_ids, simhash, warc_index
 
 QUERIES = {
     f.__name__: f
@@ -10,6 +10,7 @@ QUERIES = {
         hilbert_pack.op1_hilbert_pack,
         simhash.op5_simhash_anchor_dedup,
         orc_ids.op6_orc_token_ids,
+        language_id.op7_kneser_ney_language,
         warc_index.op8_warc_index_merge,
         curriculum.op9_curriculum_mix,
         kmeans_dedup.op10_spherical_kmeans_dedup,
