@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from sortweave.llm import curriculum, hilbert_pack, imatch, kmeans_dedup, language_id, orc_ids, simhash, warc_index
+from sortweave.llm import curriculum, hilbert_pack, imatch, kmeans_dedup, language_id, lattice_lm, orc_ids, simhash, warc_index
 
 QUERIES = {
     f.__name__: f
     for f in (
         hilbert_pack.op1_hilbert_pack,
         imatch.op2_imatch_fingerprints,
+        lattice_lm.op4_subword_lattice_lm,
         simhash.op5_simhash_anchor_dedup,
         orc_ids.op6_orc_token_ids,
         language_id.op7_kneser_ney_language,
