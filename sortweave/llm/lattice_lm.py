@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from sortweave.llm.common import ascii_crc_bucket, columns_free_of, keep, utf8
 
 #: Bytes of text that are treated together.
-BLOCK = 12 << 20
+BLOCK = 8 << 20
 #: Added to the expected count of every piece, and to a rank that is taken as a Zipf weight.
 SMOOTH, RANK = 0.1, 10.0
 _BASE, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
