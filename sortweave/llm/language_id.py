@@ -169,17 +169,51 @@ def kneser_ney(keys: np.ndarray, language: np.ndarray, counts: np.ndarray, langu
     return model
 
 
+#: Characters that are scored together; a longer text is scored in stretches of this length.
+STRETCH = 1 << 19
+
+
+def _counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    codes, owner, counts = characters(texts)
+    return grams(codes)[counts], owner[counts]
+
+
+def _stretches(text: str):
+    """The n-grams of one long text, a stretch at a time; each begins with the codes that the one before ended in."""
+    carry = np.full(ORDER - 1, _SPACE, np.uint64)
+    for at in range(0, len(text), STRETCH):
+        part = text[at : at + STRETCH]
+        codes, _, counts = characters([part])
+        codes = codes[counts]
+        if carry[-1] != _SPACE and not part[0].lower()[0].isalpha():
+            codes = np.concatenate([[np.uint64(_SPACE)], codes])
+        codes = np.concatenate([carry, codes])
+        yield grams(codes)[ORDER - 1 :]
+        carry = codes[-(ORDER - 1) :]
+
+
 def entropies(model: Models, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each text and language the mean -log p a character; the characters; whether there is a letter."""
-    codes, owner, counts = characters(texts)
-    keys, owner = grams(codes)[counts], owner[counts]
-    n = np.bincount(owner, minlength=len(texts))
-    sums = np.zeros((len(texts), len(model.languages)))
-    full = n > 0
-    if full.any():
-        starts = np.searchsorted(owner, np.flatnonzero(full))
-        sums[full] = -np.add.reduceat(model.log_p(keys), starts, axis=0, dtype=np.float64)
-    return sums / np.maximum(n, 1)[:, None], n, full
+    sums, n = np.zeros((len(texts), len(model.languages))), np.zeros(len(texts), np.int64)
+    at = 0
+    while at < len(texts):
+        if len(texts[at]) > STRETCH:
+            for keys in _stretches(texts[at]):
+                sums[at] -= model.log_p(keys).sum(axis=0, dtype=np.float64)
+                n[at] += len(keys)
+            at += 1
+            continue
+        end, size = at + 1, len(texts[at])
+        while end < len(texts) and len(texts[end]) <= STRETCH and (size := size + len(texts[end]) + ORDER) <= 2 * STRETCH:
+            end += 1
+        keys, owner = _counted(texts[at:end])
+        own = np.bincount(owner, minlength=end - at)
+        full = np.flatnonzero(own)
+        if len(full):
+            sums[at + full] = -np.add.reduceat(model.log_p(keys), np.searchsorted(owner, full), axis=0, dtype=np.float64)
+        n[at:end] = own
+        at = end
+    return sums / np.maximum(n, 1)[:, None], n, n > 0
 
 
 def calibrate(model: Models, texts: list[str], truth: np.ndarray) -> Models:
@@ -243,7 +277,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, calibration_docs: int = C
     part = F.col("lot") / share
     sample = usable.select("lang", "text", lot.alias("lot")).where(F.col("lot") < share)
     cut = train_docs / wanted
-    counted = sample.where(part < cut).select("lang", "text").mapInArrow(_count, "lang string, key bigint, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n")).toPandas()
+    counted = sample.where(part < cut).select("lang", "text").mapInArrow(_count, "lang string, key bigint, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     if counted.empty:
         return Models([])
     languages = sorted(counted["lang"].unique())

@@ -64,6 +64,18 @@ def test_documents_do_not_depend_on_their_neighbours():
         assert keys[owner == i].tolist() == counted([t])[0].tolist()
 
 
+def test_long_texts_in_stretches(monkeypatch):
+    texts = ["the cat sat on the mat", "a bat and the hat"]
+    k, c = np.unique(L._counted(texts)[0], return_counts=True)
+    model = L.kneser_ney(k, np.zeros(len(k), np.int64), c, ["x"])
+    long = "The cat, -- sat? on  the mat\n\n" * 5 + "..."
+    whole = L.entropies(model, [long, "abc", long])
+    for size in (1, 2, 3, 7, 50):
+        monkeypatch.setattr(L, "STRETCH", size)
+        for a, b in zip(whole, L.entropies(model, [long, "abc", long]), strict=True):
+            np.testing.assert_allclose(a, b, rtol=1e-5)
+
+
 def test_held_out_accuracy_and_edges(spark, sf):
     docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
     edge = spark.createDataFrame([(None, "x", "en"), (90001, None, "en"), (90002, "", None), (90003, "123 --- 456", "en"), (90004, "漢字仮名交じり文。" * 30, None), (90005, "a" * 300_000, None)], "doc_id long, text string, lang string")
