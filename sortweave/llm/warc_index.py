@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sortweave.llm.common import columns_free_of, new_path
+from sortweave.llm.common import columns_free_of, keep, new_path
 
 #: Least payload that a revisit may stand for.
 LEAST = 1000
@@ -35,12 +35,12 @@ def with_decisions(pages: DataFrame, least: int = LEAST) -> DataFrame:
     Of equal payloads of at least ``least`` bytes the one with the largest page_id (then the last row) is the
     response; null page_ids come before all others. Payloads that occur once, or are shorter, never wait for
     a join partner: the groups with repeats are aggregated map-side first, and a hot digest is one row of them,
-    to which Spark's skew join brings the pages in as many tasks as they need.
+    to which Spark's skew join brings the pages in as many tasks as they need. Rows are numbered once, in a kept table.
     """
     rows = columns_free_of(pages, ["page_id", "url", "html"]).select(
         F.monotonically_increasing_id().alias("row_id"), F.col("page_id").cast("bigint").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("payload")
     )
-    rows = rows.withColumn("n", F.octet_length("payload").cast("bigint")).withColumn("digest", F.sha1(F.col("payload").cast("binary")))
+    rows = keep(rows.withColumn("n", F.octet_length("payload").cast("bigint")).withColumn("digest", F.sha1(F.col("payload").cast("binary"))), "warc-pages")
     best = F.max(F.struct("page_id", "row_id")).alias("best")
     groups = rows.where(F.col("n") >= least).groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), best).where("copies > 1").select(F.col("digest").alias("_digest"), "best")
     joined = rows.join(groups, (F.col("digest") == F.col("_digest")) & (F.col("n") >= least), "left")
