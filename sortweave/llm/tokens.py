@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,7 @@ import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
+_NEW = -2
 _encoders: dict[tuple, "Encoder"] = {}
 
 
@@ -37,12 +39,14 @@ class Encoder:
 
     A byte-level vocabulary cuts a text into pieces before it merges anything, and it always cuts before a
     blank or line feed that has no white space at either side. Texts are cut there; each distinct piece
-    is encoded once, together with all others that are new, and remembered. At ``most`` pieces the
-    memory starts anew. Texts in which a blank or line feed meets other white space, or that end
+    is encoded once, together with all others that are new, and remembered. Beyond ``most`` pieces the
+    memory keeps those met ``OFTEN`` times or more, if they are less than half, and forgets the rest. Texts in which a blank or line feed meets other white space, or that end
     in one, are encoded whole.
     """
 
-    def __init__(self, data: bytes, most: int = 250_000):
+    OFTEN = 3
+
+    def __init__(self, data: bytes, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(data)
@@ -53,30 +57,48 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, self.dtype)
-        self.ends = np.zeros(1 << 14, np.int64)  # of each known piece's ids in flat
-        self.pieces = 0
+        """Starts the memory anew with the pieces that were met often, if any."""
+        kept: list[str] = []
+        if getattr(self, "known", None):
+            often = self.met[: self.pieces] >= self.OFTEN
+            if 2 * often.sum() < self.most:
+                kept = [p for p, i in self.known.items() if i >= 0 and often[i]]
+        starts = np.array([self.ends[i - 1] if i else 0 for i in map(self.known.__getitem__, kept)], np.int64) if kept else np.zeros(0, np.int64)
+        ends = self.ends[[self.known[p] for p in kept]] if kept else starts
+        own = np.cumsum(ends - starts)
+        flat = np.zeros(1 << 20, self.dtype)
+        if kept:
+            flat = np.resize(flat, max(len(flat), 2 * int(own[-1])))
+            flat[: own[-1]] = self.flat[np.repeat(ends - own, ends - starts) + np.arange(own[-1])]
+        self.known = dict(zip(kept, range(len(kept)), strict=True))
+        self.flat, self.pieces = flat, len(kept)
+        self.ends, self.met = np.zeros(max(1 << 18, 2 * len(kept)), np.int64), np.zeros(max(1 << 18, 2 * len(kept)), np.int32)
+        self.ends[: len(kept)] = own
 
     def _whole(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
     def _learn(self, new: list[str]) -> None:
         """New pieces are joined and encoded as one text; byte lengths tell which ids belong to which."""
-        cores = [p[1:] if p[:1] == "\n" else p for p in new]
-        sound = [len(c) > 0 and len(c.strip()) == len(c) for c in cores]
-        safe = [p for p, ok in zip(new, sound, strict=True) if ok]
-        self.known.update((p, -1) for p, ok in zip(new, sound, strict=True) if not ok)
+        safe = []
+        for p in new:
+            core = p[1:] if p[:1] == "\n" else p
+            if core and len(core.strip()) == len(core):
+                safe.append(p)
+            else:
+                self.known[p] = -1
         if not safe:
             return
         spaced = [p if p[0] == "\n" else " " + p for p in safe]
         ids = self._whole("".join(spaced))
-        cuts = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(np.fromiter(map(len, map(str.encode, spaced)), np.int64, len(spaced))), side="left") + 1
+        sizes = np.fromiter(map(len, map(str.encode, spaced)), np.int64, len(safe))
+        cuts = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(sizes), side="left") + 1
         held = int(self.ends[self.pieces - 1]) if self.pieces else 0
         while held + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while self.pieces + len(safe) > len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+            self.met = np.concatenate([self.met, np.zeros_like(self.met)])
         self.flat[held : held + len(ids)] = ids
         self.ends[self.pieces : self.pieces + len(safe)] = cuts + held
         self.known.update(zip(safe, range(self.pieces, self.pieces + len(safe)), strict=True))
@@ -103,24 +125,32 @@ class Encoder:
         first = first - first[0]
         if len(self.known) > self.most:
             self._forget()
-        names = coded.dictionary.to_pylist()
-        self._learn([p for p in names if p not in self.known])
-        index = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
-        index = index[coded.indices.to_numpy()]
-        start = np.where(index > 0, self.ends[index - 1], 0)
-        length = np.where(index >= 0, self.ends[index] - start, 0)
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        of = np.fromiter(map(self.known.get, names, repeat(_NEW)), np.int64, len(names))
+        new = np.flatnonzero(of == _NEW)
+        if len(new):
+            pieces = [names[i] for i in new]
+            self._learn(pieces)
+            of[new] = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(new))
+        indices = coded.indices.to_numpy()
+        np.add.at(self.met, of[of >= 0], np.bincount(indices, minlength=len(of))[of >= 0].astype(np.int32))
+        end = np.where(of >= 0, self.ends[of], 0)
+        start = np.where(of > 0, self.ends[of - 1], 0)
+        length = (end - start)[indices]
+        start = start[indices]
+        index = of[indices]
+        odd = np.add.reduceat(index < 0, first[:-1]) > 0
+        whole = first[:-1][~odd]
+        start[whole] += 1  # without the line feed put before each text
+        length[whole] -= 1
         before = np.concatenate([[0], np.cumsum(length)])
-        source = np.repeat(start - before[:-1], length) + np.arange(before[-1])
-        ids = self.flat[source]
         offsets = before[first]
-        odd = np.add.reduceat(index < 0, first[:-1]) > 0
-        keep = np.ones(len(ids), bool)
-        keep[offsets[:-1][~odd]] = False  # the line feed put before each text
+        ids = self.flat[np.repeat((start - before[:-1]).astype(np.int32), length) + np.arange(before[-1], dtype=np.int32)]
         if not odd.any():
-            return ids[keep], offsets - np.arange(len(offsets))
+            return ids, offsets
         parts, lengths = [], []
         for i, text in enumerate(texts):
-            own = self._whole(text.as_py()) if odd[i] else ids[offsets[i] + 1 : offsets[i + 1]]
+            own = self._whole(text.as_py()) if odd[i] else ids[offsets[i] : offsets[i + 1]]
             parts.append(own)
             lengths.append(len(own))
         return np.concatenate(parts), np.concatenate([[0], np.cumsum(lengths)])

@@ -7,7 +7,7 @@ import pytest
 from sortweave.llm import hilbert_pack, orc_ids, tokens
 from sortweave.llm.common import new_path
 
-TEXTS = ["", "a", " a", "a ", "\n", "a\nb", "a \nb", "  a b", "a\tb c", "\x85 a b", "　a b", "a\n", "\n\na", "a\x1c b", "'s 't a's", "<|endoftext|> x <|endoftext|>", "é é 中文 字", "x  y z", None, "a\x1cb c", "𝔘nicode 🙂 🙂🙂 text", "word " * 5000 + "end", "y" * 20000]
+TEXTS = ["", "a", " a", "a ", "\n", "a\nb", "a \nb", "  a b", "a\tb c", "\x85 a b", "　a b", "a\n", "\n\na", "a\x1c b", "'s 't a's", "<|endoftext|> x <|endoftext|>", "é é 中文 字", "x  y z", None, "a\x1cb c", "𝔘nicode 🙂 🙂🙂 text", "word " * 5000 + "end", "y" * 20000, "Ümläut éçole ñandú ÿ ǅ ɐ ʰa ﬁ x² ½", "it's we'll o'clock", "a\u00adb \u00aa \u00ba"]
 
 
 @pytest.fixture(scope="module")
