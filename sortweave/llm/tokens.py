@@ -46,7 +46,7 @@ class Encoder:
 
     OFTEN = 3
 
-    def __init__(self, data: bytes, most: int = 400_000):
+    def __init__(self, data: bytes, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(data)
@@ -66,7 +66,7 @@ class Encoder:
         starts = np.array([self.ends[i - 1] if i else 0 for i in map(self.known.__getitem__, kept)], np.int64) if kept else np.zeros(0, np.int64)
         ends = self.ends[[self.known[p] for p in kept]] if kept else starts
         own = np.cumsum(ends - starts)
-        flat = np.zeros(1 << 20, self.dtype)
+        flat = np.zeros(1 << 19, self.dtype)
         if kept:
             flat = np.resize(flat, max(len(flat), 2 * int(own[-1])))
             flat[: own[-1]] = self.flat[np.repeat(ends - own, ends - starts) + np.arange(own[-1])]
@@ -109,8 +109,8 @@ class Encoder:
         out, ends = [], [0]
         step, sizes = 1, pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
         at = 0
-        while at < len(texts):  # 3 MB of text at a time
-            step = max(1, int(np.searchsorted(np.cumsum(sizes[at : at + 20_000]), 3 << 20)))
+        while at < len(texts):  # 1 MB of text at a time
+            step = max(1, int(np.searchsorted(np.cumsum(sizes[at : at + 20_000]), 1 << 20)))
             ids, offsets = self._some(texts.slice(at, step))
             out.append(ids)
             ends.extend((offsets[1:] + ends[-1]).tolist())
