@@ -21,9 +21,9 @@ def exact_parts(df: DataFrame, key: Column, depth: int, name: str = "part") -> t
     At each level the splitter of a part of n rows is the key of rank max(1, floor(n/2)): keys up to it
     go left (2b), greater ones right (2b+1). Keys are BIGINT; null keys go to part 0 and count for no rank.
 
-    Splitters are found for all parts of a level at once, by a search that halves the interval of each
-    part's keys: every step is one aggregate over distinct keys with their counts, of which one row per
-    part reaches the driver (2**depth rows at most), and at most 64 steps halve any BIGINT interval.
+    Splitters are found for all parts of a level at once, by a search that cuts the interval of each
+    part's keys into CELLS: every step is one aggregate over distinct keys with their counts, of which CELLS rows
+    a part reach the driver (CELLS * 2**depth at most), and 11 steps at most narrow any BIGINT interval to a key.
     No step sorts or gathers a part in one task. Returns the rows with ``name`` and the splitters found.
     """
     counts = df.select(key.cast("bigint").alias("k")).where("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("c"))
@@ -51,22 +51,26 @@ def _go(key: Column, bucket: Column, cuts: dict[int, int]) -> Column:
     return 2 * bucket + F.coalesce((key > cut).cast("int"), F.lit(0))
 
 
+#: Into how many equal intervals a step of the search cuts each part's span of keys.
+CELLS = 64
+
+
 def _medians(dealt: DataFrame) -> dict[int, tuple[int, int]]:
     """bucket -> (splitter, rows) for (b, k, c)."""
-    spans = {r["b"]: [r["lo"], r["hi"], r["n"]] for r in dealt.groupBy("b").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.sum("c").alias("n")).collect()}
-    while open_ := {b: (lo + hi) // 2 for b, (lo, hi, _) in spans.items() if lo < hi}:
-        mid = F.lit(None).cast("bigint")
-        for b, m in open_.items():
-            mid = F.when(F.col("b") == b, F.lit(m)).otherwise(mid)
-        got = dealt.where(F.col("b").isin(list(open_))).withColumn("m", mid).groupBy("b").agg(
-            F.sum(F.when(F.col("k") <= F.col("m"), F.col("c")).otherwise(0)).alias("at_most"),
-            F.max(F.when(F.col("k") <= F.col("m"), F.col("k"))).alias("down"),
-            F.min(F.when(F.col("k") > F.col("m"), F.col("k"))).alias("up"),
-        )
-        for r in got.collect():
-            lo, hi, n = spans[r["b"]]
-            if r["at_most"] >= max(1, n // 2):
-                spans[r["b"]][1] = r["down"]  # the largest key up to the middle still has enough rows
-            else:
-                spans[r["b"]][0] = r["up"]
-    return {b: (hi, n) for b, (lo, hi, n) in spans.items()}
+    found = dealt.groupBy("b").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.sum("c").alias("n")).collect()
+    rows = {r["b"]: r["n"] for r in found}
+    spans = {r["b"]: (r["lo"], r["hi"], max(1, r["n"] // 2)) for r in found}  # where the key of the wanted rank lies
+    while open_ := {b: s for b, s in spans.items() if s[0] < s[1]}:
+        cell = F.lit(None).cast("int")
+        for b, (lo, hi, _) in open_.items():
+            step = -(-(hi - lo + 1) // CELLS)
+            offset = F.col("k").cast("decimal(20,0)") - F.lit(lo).cast("decimal(20,0)")
+            inside = (F.col("b") == b) & F.col("k").between(lo, hi)
+            cell = F.when(inside, F.floor(offset / F.lit(step).cast("decimal(20,0)")).cast("int")).otherwise(cell)
+        got = dealt.withColumn("cell", cell).where("cell is not null").groupBy("b", "cell").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.sum("c").alias("n"))
+        wanted = {b: s[2] for b, s in open_.items()}
+        for r in sorted(got.collect(), key=lambda r: (r["b"], r["lo"])):
+            if 0 < wanted[r["b"]] <= r["n"]:
+                spans[r["b"]] = (r["lo"], r["hi"], wanted[r["b"]])
+            wanted[r["b"]] -= r["n"]
+    return {b: (s[0], rows[b]) for b, s in spans.items()}
