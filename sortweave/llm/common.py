@@ -49,9 +49,23 @@ def release(spark: SparkSession) -> None:
 
 
 def columns_free_of(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
-    """Only the wanted columns, found case-sensitively if several differ in case only."""
-    fields = [f.name for f in df.schema]
-    return df.select(*(df[f"`{w}`"] if fields.count(w) == 1 else F.col(w) for w in wanted))
+    """Only the wanted columns, whatever others there are: one of just that name, or else the first that differs in case only."""
+    names = df.columns
+    lower = [n.lower() for n in names]
+    at = [names.index(w) if w in names else lower.index(w.lower()) for w in wanted]
+    placed = df.toDF(*(f"c{i}" for i in range(len(names))))
+    return placed.select(*(F.col(f"c{i}").alias(w) for i, w in zip(at, wanted, strict=True)))
+
+
+def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, list[str]]:
+    """A kept table of all columns, named by place, with _row, a number of each row; and their names."""
+    names = docs.columns
+    return keep(docs.toDF(*(f"c{i}" for i in range(len(names)))).withColumn("_row", F.monotonically_increasing_id()), name), names
+
+
+def place_of(names: Sequence[str], wanted: str) -> Column:
+    """A column of a numbered table by its former name."""
+    return F.col(f"c{names.index(wanted) if wanted in names else [n.lower() for n in names].index(wanted.lower())}")
 
 
 def plus(df: DataFrame, *fields: tuple[str, str]) -> T.StructType:

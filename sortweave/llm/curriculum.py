@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sortweave.llm.common import WORD, keep, running_total
+from sortweave.llm.common import WORD, columns_free_of, keep, numbered, place_of, running_total
 
 WEIGHTS, BUDGET, MOST = (3, 1, 2), 1.5, 2.0
 #: How far a source's share tilts: from 1 + tilt at the start to 1 - tilt at the end, or the other way, in turn.
@@ -57,7 +57,8 @@ def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BU
     A source's documents are ranges of one global order, so a large source is many tasks.
     """
     number = F.col(row) if row else F.monotonically_increasing_id()
-    light = docs.select(number.alias("row_id"), docs["doc_id"].cast("bigint").alias("doc_id"), docs["source"].alias("source"), word_count(docs["text"]).alias("size"))
+    rows = columns_free_of(docs, ["doc_id", "text", "source", *([row] if row else [])])
+    light = rows.select(number.alias("row_id"), F.col("doc_id").cast("bigint").alias("doc_id"), "source", word_count(F.col("text")).alias("size"))
     light = keep(light, "mix-sizes")
     goals = keep(targets(light.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, most), "mix-targets")
     joined = light.join(goals, light["source"].eqNullSafe(goals["source"])).drop(goals["source"])
@@ -93,14 +94,17 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUD
 
     Takes and returns all columns of ``docs``. Blank documents take no words and are left out.
     """
-    whole = keep(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-docs")
-    turns = occurrences(plan(whole, weights, budget, most, row="_row"), tilts)
+    whole, names = numbered(docs, "mix-docs")
+    wanted = whole.select("_row", *(place_of(names, c).alias(c) for c in ("doc_id", "text", "source")))
+    turns = occurrences(plan(wanted, weights, budget, most, row="_row"), tilts)
     taken = whole.join(turns.withColumnsRenamed({"row_id": "_row", "turn": "_turn", "words": "_words", "position": "_position"}).hint("shuffle_hash"), "_row")
     ordered = taken.repartitionByRange("_position", "_row", "_turn").sortWithinPartitions("_position", "_row", "_turn")
     # the words of a cut document, found by the end of its last one; all other texts stay as they are
-    cut = F.expr(r"""CASE WHEN _words < regexp_count(text, '[^\\x20\\x09-\\x0D]+') THEN
-        array_join(slice(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*', 0), 1, CAST(_words AS INT)), '') ELSE text END""")
-    return ordered.withColumn("text", cut).select(*(F.col(f"`{c}`") for c in docs.columns))
+    text = place_of(names, "text")
+    stretches = F.regexp_extract_all(text, F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    cut = F.when(F.col("_words") < word_count(text), F.array_join(F.slice(stretches, 1, F.col("_words").cast("int")), "")).otherwise(text)
+    at = names.index("text") if "text" in names else [n.lower() for n in names].index("text")
+    return ordered.withColumn(f"c{at}", cut).select(*(f"c{i}" for i in range(len(names)))).toDF(*names)
 
 
 def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,7 +120,7 @@ def lexicon(docs: DataFrame, rare: float = RARE, common: float = COMMON, fewest:
 
     Of documents with d distinct terms each on average, d / rare terms at most are in the band. Counts are over all documents.
     """
-    counts = docs.select("text").mapInArrow(_count(), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    counts = columns_free_of(docs, ["text"]).mapInArrow(_count(), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
     total = docs.count()
     return keep(counts.where((F.col("n") >= max(fewest, rare * total)) & (F.col("n") <= max(fewest, common * total))).select("term"), "lexicon")
 

@@ -267,7 +267,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, calibration_docs: int = C
     ``calibration_docs`` others to calibrate; languages with fewer are used whole, a fifth of it to calibrate.
     N-grams are counted on the executors; the driver gets the sample's distinct n-grams and the calibration texts.
     """
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    usable = columns_free_of(docs, ["doc_id", "text", "lang"]).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     lot = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
     wanted = train_docs + calibration_docs
     sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # a row for each language
@@ -334,12 +334,12 @@ def op7_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents, with all columns, that are not rejected."""
-    from pyspark.sql import types as T
-
     held = ascii_crc_bucket(F.col("doc_id"), 4) == 2
-    model = fit(docs.where(~held))
+    model = fit(columns_free_of(docs, ["doc_id", "text", "lang"]).where(~held))
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    names = docs.columns
+    at = names.index("text") if "text" in names else [n.lower() for n in names].index("text")
+    placed = docs.toDF(*(f"c{i}" for i in range(len(names))))
 
     def run(batches):
         for b in batches:
@@ -348,4 +348,4 @@ def keep_identified(docs: DataFrame) -> DataFrame:
                 rejected = decide(sent.value, own.column(at).to_pylist())[2]
                 yield own.filter(pa.array(~rejected))
 
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields))
+    return placed.mapInArrow(run, placed.schema).toDF(*names)

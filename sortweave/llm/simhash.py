@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sortweave.llm.common import columns_free_of, keep, utf8
+from sortweave.llm.common import columns_free_of, keep, numbered, place_of, utf8
 from sortweave.llm.components import components
 
 #: Fixed values of the code: length, message bits, covering radius, generator polynomial x^11+x^9+x^7+x^6+x^5+x+1.
@@ -178,6 +178,7 @@ def op5_simhash_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dedupe(docs: DataFrame) -> DataFrame:
     """The kept row of each component, with all columns of ``docs``. Rows are numbered once, in a kept table."""
-    whole = keep(docs.withColumn("_row", F.monotonically_increasing_id()), "simhash-docs")
-    marked = near_duplicates(whole, row="_row").where("kept").select(F.col("row_id").alias("_row"))
-    return whole.join(marked.hint("shuffle_hash"), "_row", "left_semi").drop("_row")
+    whole, names = numbered(docs, "simhash-docs")
+    wanted = whole.select("_row", *(place_of(names, c).alias(c) for c in ("doc_id", "text")))
+    marked = near_duplicates(wanted, row="_row").where("kept").select(F.col("row_id").alias("_row"))
+    return whole.join(marked.hint("shuffle_hash"), "_row", "left_semi").drop("_row").toDF(*names)
