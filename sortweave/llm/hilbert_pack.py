@@ -85,8 +85,7 @@ def _tokenise(vocab, end_id: int):
         enc = encoder(vocab.value)
         table = token_table(max(len(enc.bytes_of), end_id + 1))
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
+            for part in enc.slices(b, 1):
                 ids, offsets = enc.encode(part.column(1))
                 keys = hilbert_keys(grid(project(ids, offsets, table)))
                 ids = np.insert(ids, offsets[1:], end_id)

@@ -23,12 +23,11 @@ SCHEMA = "row_id bigint, doc_id bigint, ids array<int>"
 
 def _encode(vocab, end_id: int):
     def run(batches):
-        """Streams sorted rows; ids of a slice of documents at a time."""
+        """Streams sorted rows; ids of a few MB of text at a time."""
         row = TaskContext.get().partitionId() << 40
         enc = encoder(vocab.value)
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
+            for part in enc.slices(b, 1):
                 ids, offsets = enc.encode(part.column(1))
                 ends = np.insert(ids.astype(np.int32), offsets[1:], end_id)
                 lists = pa.ListArray.from_arrays((offsets + np.arange(len(offsets))).astype(np.int32), pa.array(ends, pa.int32()))

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import os
-from itertools import repeat
+from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,11 @@ import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-_NEW = -2
+#: A piece that begins and ends in neither white space nor control characters, a line feed in front aside.
+_FIT = r"^\n?[^\s\pZ\pC](?s:.*[^\s\pZ\pC])?$"
+#: A word of common Latin letters and the punctuation that closes it, which is marked as a piece without a blank in front.
+_CLOSED, _CLOSING = r"^(\n?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)$", "\x01"
+
 _encoders: dict[tuple, "Encoder"] = {}
 
 
@@ -34,19 +39,28 @@ def _byte_lengths(tokenizer) -> np.ndarray:
     return out
 
 
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All positions of runs, one run after another."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.repeat((starts - ends + sizes).astype(np.int32), sizes) + np.arange(total, dtype=np.int32)
+
+
 class Encoder:
     """Ids of texts, equal to those of encoding each whole text with the tokenizer.
 
-    A byte-level vocabulary cuts a text into pieces before it merges anything, and it always cuts before a
-    blank or line feed that has no white space at either side. Texts are cut there; each distinct piece
-    is encoded once, together with all others that are new, and remembered. Beyond ``most`` pieces the
-    memory keeps those met ``OFTEN`` times or more, if they are less than half, and forgets the rest. Texts in which a blank or line feed meets other white space, or that end
-    in one, are encoded whole.
+    A byte-level vocabulary cuts a text into pieces before it merges anything. It always cuts before a
+    blank or line feed that has no white space at either side, and between a letter and closing punctuation.
+    Texts are cut there; each distinct piece is encoded once, together with all others that are new, and
+    remembered in an Arrow array that whole slices are looked up in. Beyond ``most`` pieces
+    the memory keeps those met most, at most half of it. Texts in which a blank or line feed meets other
+    white space, or that end in one, are encoded whole.
     """
 
-    OFTEN = 3
+    #: Bytes of text looked up together, and new pieces encoded together.
+    SLICE, JOINED = 4 << 20, 20_000
 
-    def __init__(self, data: bytes, most: int = 300_000):
+    def __init__(self, data: bytes, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(data)
@@ -54,106 +68,109 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.bytes_of = _byte_lengths(self.tokenizer)
         self.most = most
-        self._forget()
+        self.known = pa.array([], pa.large_string())
+        self.flat, self.at, self.met = np.zeros(0, self.dtype), np.zeros(1, np.int64), np.zeros(0, np.int64)
 
     def _forget(self) -> None:
-        """Starts the memory anew with the pieces that were met often, if any."""
-        kept: list[str] = []
-        if getattr(self, "known", None):
-            often = self.met[: self.pieces] >= self.OFTEN
-            if 2 * often.sum() < self.most:
-                kept = [p for p, i in self.known.items() if i >= 0 and often[i]]
-        starts = np.array([self.ends[i - 1] if i else 0 for i in map(self.known.__getitem__, kept)], np.int64) if kept else np.zeros(0, np.int64)
-        ends = self.ends[[self.known[p] for p in kept]] if kept else starts
-        own = np.cumsum(ends - starts)
-        flat = np.zeros(1 << 19, self.dtype)
-        if kept:
-            flat = np.resize(flat, max(len(flat), 2 * int(own[-1])))
-            flat[: own[-1]] = self.flat[np.repeat(ends - own, ends - starts) + np.arange(own[-1])]
-        self.known = dict(zip(kept, range(len(kept)), strict=True))
-        self.flat, self.pieces = flat, len(kept)
-        self.ends, self.met = np.zeros(max(1 << 18, 2 * len(kept)), np.int64), np.zeros(max(1 << 18, 2 * len(kept)), np.int32)
-        self.ends[: len(kept)] = own
+        """Keeps the pieces met most; what is kept must be met again to stay the next time."""
+        least = 2
+        while 2 * np.count_nonzero(self.met >= least) > self.most:
+            least *= 2
+        often = np.flatnonzero(self.met >= least)
+        sizes = np.diff(self.at)[often]
+        self.flat = self.flat[spread(self.at[often], sizes)]
+        self.at = np.concatenate([[0], np.cumsum(sizes)])
+        self.known, self.met = self.known.take(pa.array(often)), self.met[often] // 2
 
     def _whole(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: pa.Array) -> None:
         """New pieces are joined and encoded as one text; byte lengths tell which ids belong to which."""
-        safe = []
-        for p in new:
-            core = p[1:] if p[:1] == "\n" else p
-            if core and len(core.strip()) == len(core):
-                safe.append(p)
-            else:
-                self.known[p] = -1
-        if not safe:
-            return
-        spaced = [p if p[0] == "\n" else " " + p for p in safe]
-        ids = self._whole("".join(spaced))
-        sizes = np.fromiter(map(len, map(str.encode, spaced)), np.int64, len(safe))
-        cuts = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(sizes), side="left") + 1
-        held = int(self.ends[self.pieces - 1]) if self.pieces else 0
-        while held + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.pieces + len(safe) > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-            self.met = np.concatenate([self.met, np.zeros_like(self.met)])
-        self.flat[held : held + len(ids)] = ids
-        self.ends[self.pieces : self.pieces + len(safe)] = cuts + held
-        self.known.update(zip(safe, range(self.pieces, self.pieces + len(safe)), strict=True))
-        self.pieces += len(safe)
+        closing = pc.starts_with(new, _CLOSING)
+        words, marks = new.filter(pc.invert(closing)), new.filter(closing)
+        flat, sizes = [self.flat], [np.diff(self.at)]
+        spaced = pc.replace_substring_regex(words, r"^([^\n])", r" \1")
+        for i in range(0, len(spaced), self.JOINED):
+            some = spaced.slice(i, self.JOINED)
+            ids = self._whole("".join(some.to_pylist()))
+            cuts = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(pc.binary_length(some).to_numpy()), side="left") + 1
+            flat.append(ids)
+            sizes.append(np.diff(cuts, prepend=0))
+        for mark in marks.to_pylist():
+            flat.append(self._whole(mark[1:]))
+            sizes.append([len(flat[-1])])
+        self.flat = np.concatenate(flat)
+        self.at = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        self.known = pa.concat_arrays([self.known, words, marks])
+        self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
+
+    def slices(self, batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+        """Rows of about ``SLICE`` bytes of text at a time."""
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        of = np.cumsum(sizes, dtype=np.int64) // self.SLICE
+        cuts = [*np.flatnonzero(np.diff(of, prepend=-1)), batch.num_rows]
+        for i, j in pairwise(cuts):
+            yield batch.slice(i, j - i)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after another, and the len(texts) + 1 offsets of each. Nulls are empty."""
-        out, ends = [], [0]
-        step, sizes = 1, pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-        at = 0
-        while at < len(texts):  # 1 MB of text at a time
-            step = max(1, int(np.searchsorted(np.cumsum(sizes[at : at + 20_000]), 1 << 20)))
-            ids, offsets = self._some(texts.slice(at, step))
+        out, ends = [np.zeros(0, self.dtype)], [np.zeros(1, np.int64)]
+        for part in self.slices(pa.record_batch([texts], ["text"]), 0):
+            ids, offsets = self._some(part.column(0))
             out.append(ids)
-            ends.extend((offsets[1:] + ends[-1]).tolist())
-            at += step
-        return (np.concatenate(out) if out else np.zeros(0, self.dtype)), np.asarray(ends, np.int64)
+            ends.append(offsets[1:] + ends[-1][-1])
+        return np.concatenate(out), np.concatenate(ends)
+
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """Where the memory has each piece; new ones are learned."""
+        found = pc.index_in(pieces, value_set=self.known)
+        of = pc.fill_null(found, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if found.null_count:
+            missing = pieces.filter(found.is_null())
+            before, new = len(self.known), missing.unique()
+            self._learn(new)
+            added = pc.index_in(missing, value_set=self.known.slice(before))
+            of[found.is_null().to_numpy(zero_copy_only=False)] = added.to_numpy() + before
+        return of
 
     def _some(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         cut = pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\n", pa.large_string()), pc.replace_substring(texts, "\n", " \n"), pa.scalar("", pa.large_string())), " ")
         coded = cut.flatten().dictionary_encode()
-        first = cut.offsets.to_numpy().astype(np.int64)
-        first = first - first[0]
+        first = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        indices, distinct = coded.indices.to_numpy(), coded.dictionary
+        del cut
         if len(self.known) > self.most:
             self._forget()
-        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        of = np.fromiter(map(self.known.get, names, repeat(_NEW)), np.int64, len(names))
-        new = np.flatnonzero(of == _NEW)
-        if len(new):
-            pieces = [names[i] for i in new]
-            self._learn(pieces)
-            of[new] = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(new))
-        indices = coded.indices.to_numpy()
-        np.add.at(self.met, of[of >= 0], np.bincount(indices, minlength=len(of))[of >= 0].astype(np.int32))
-        end = np.where(of >= 0, self.ends[of], 0)
-        start = np.where(of > 0, self.ends[of - 1], 0)
-        length = (end - start)[indices]
-        start = start[indices]
-        index = of[indices]
-        odd = np.add.reduceat(index < 0, first[:-1]) > 0
+        # distinct pieces of this slice: a word, and closing punctuation as a piece of its own
+        fit = pc.match_substring_regex(distinct, _FIT)
+        parts = pc.split_pattern(pc.replace_substring_regex(distinct.filter(fit), _CLOSED, rf"\1 {_CLOSING}\2"), " ")
+        fit, heads = fit.to_numpy(zero_copy_only=False), parts.offsets.to_numpy()
+        place = self._places(parts.flatten())
+        sizes = (self.at[place + 1] - self.at[place]).astype(np.int64)
+        local = self.flat[spread(self.at[place], sizes)]
+        times = np.bincount(indices, minlength=len(distinct))
+        np.add.at(self.met, place, np.repeat(times[fit], np.diff(heads)))
+        ends = np.concatenate([[0], np.cumsum(sizes)])[heads]
+        start, length = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        start[fit], length[fit] = ends[:-1], np.diff(ends)
+        # pieces in the order of the texts
+        odd = np.add.reduceat((~fit)[indices], first[:-1], dtype=np.int64) > 0
+        start, length = start[indices], length[indices]
         whole = first[:-1][~odd]
         start[whole] += 1  # without the line feed put before each text
         length[whole] -= 1
-        before = np.concatenate([[0], np.cumsum(length)])
-        offsets = before[first]
-        ids = self.flat[np.repeat((start - before[:-1]).astype(np.int32), length) + np.arange(before[-1], dtype=np.int32)]
+        offsets = np.concatenate([[0], np.cumsum(length)])[first]
+        ids = local[spread(start, length)]
         if not odd.any():
             return ids, offsets
-        parts, lengths = [], []
+        out, lengths = [], []
         for i, text in enumerate(texts):
             own = self._whole(text.as_py()) if odd[i] else ids[offsets[i] : offsets[i + 1]]
-            parts.append(own)
+            out.append(own)
             lengths.append(len(own))
-        return np.concatenate(parts), np.concatenate([[0], np.cumsum(lengths)])
+        return np.concatenate(out), np.concatenate([[0], np.cumsum(lengths)])
 
 
 def encoder(data: bytes) -> Encoder:
