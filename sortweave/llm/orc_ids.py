@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sortweave.llm.common import columns_free_of, new_path, running_total
+from sortweave.llm.common import columns_free_of, keep, new_path, running_total
 from sortweave.llm.tokens import encoder, vocabulary
 
 SCHEMA = "row_id bigint, doc_id bigint, ids array<int>"
@@ -70,7 +70,8 @@ def _digest(batches):
 
 def digests(stored: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of the stored rows, in file order."""
-    light = stored.mapInArrow(_digest, "row_id bigint, doc_id bigint, n_tokens bigint, ids_crc32 bigint")
+    # kept, as dealing rows out by ranges reads them twice
+    light = keep(stored.mapInArrow(_digest, "row_id bigint, doc_id bigint, n_tokens bigint, ids_crc32 bigint"), "orc-lengths")
     return running_total(light, [F.col("row_id")], "n_tokens", "start", "orc-digests").select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
