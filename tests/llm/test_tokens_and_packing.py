@@ -37,6 +37,27 @@ def test_documents_equal_those_of_whole_texts(tokenizer, spark, sf):
     assert [ids[i:j].tolist() for i, j in zip(offsets[:-1], offsets[1:], strict=True)] == [plain(tokenizer, t) for t in texts]
 
 
+def test_mixed_characters_equal_those_of_whole_texts(tokenizer):
+    """Blanks, controls, letters, marks and closing punctuation in all neighbourhoods, by a memory that keeps forgetting."""
+    rng, enc = np.random.default_rng(3), tokens.Encoder(tokens.vocabulary(), most=60)
+    for common in (list(" \nabé.,!'s1"), list(" \n\t\rab\x00\x01\u3000\x1cßก—日😀.,:;?!")):
+        for _ in range(60):
+            texts = ["".join(rng.choice(common, rng.integers(0, 40))) for _ in range(20)]
+            ids, offsets = enc.encode(pa.array(texts))
+            assert [ids[i:j].tolist() for i, j in zip(offsets[:-1], offsets[1:], strict=True)] == [plain(tokenizer, t) for t in texts]
+            assert enc.tokenizer and len(enc.known) == len(enc.met) == len(enc.at) - 1
+
+
+def test_slices_hold_all_rows_in_order():
+    enc = tokens.Encoder(tokens.vocabulary())
+    enc.SLICE = 10
+    batch = pa.record_batch([pa.array(["", "abc", None, "x" * 35, "", "abcdefgh", "abc"])], ["text"])
+    parts = list(enc.slices(batch, 0))
+    assert len(parts) > 2 and all(p.num_rows for p in parts)
+    assert pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
+    assert list(enc.slices(batch.slice(0, 0), 0)) == []
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
