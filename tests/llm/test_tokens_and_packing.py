@@ -45,7 +45,7 @@ def test_mixed_characters_equal_those_of_whole_texts(tokenizer):
             texts = ["".join(rng.choice(common, rng.integers(0, 40))) for _ in range(20)]
             ids, offsets = enc.encode(pa.array(texts))
             assert [ids[i:j].tolist() for i, j in zip(offsets[:-1], offsets[1:], strict=True)] == [plain(tokenizer, t) for t in texts]
-            assert enc.tokenizer and len(enc.known) == len(enc.met) == len(enc.at) - 1
+            assert len(enc.known) == len(enc.met) == len(enc.at) - 1
 
 
 def test_slices_hold_all_rows_in_order():
