@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sortweave.llm import curriculum, hilbert_pack, language_id, simhash
+from sortweave.llm import curriculum, hilbert_pack, language_id, near_copies
 from sortweave.llm.common import keep
 
 
@@ -18,8 +18,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest doc_id."""
-    return simhash.dedupe(docs)
+    """One document of each group of near-duplicates (Jaccard similarity of five-word shingles at least 0.8): that with the smallest doc_id."""
+    return near_copies.dedupe(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
