@@ -107,9 +107,17 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUD
     return ordered.withColumn(f"c{at}", cut).select(*(f"c{i}" for i in range(len(names)))).toDF(*names)
 
 
+def order(planned: DataFrame, tilts: Sequence[float] = TILTS) -> DataFrame:
+    """(row_id, turn, words, position) of all occurrences in training order, by ranges of the position: a kept table."""
+    by = ("position", "row_id", "turn")
+    return keep(occurrences(planned, tilts).repartitionByRange(*by).sortWithinPartitions(*by), "mix-order")
+
+
 def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document."""
-    return plan(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
+    """What the training order takes of each document: words of its occurrences, each dealt its position by inverse demand."""
+    planned = keep(plan(spark.read.parquet(f"{sf_dir}/documents.parquet")), "mix-plan")
+    dealt = order(planned).groupBy("row_id").agg(F.sum("words").alias("dealt"))
+    return planned.join(dealt, "row_id", "left").select("doc_id", "size", "source_size", "target", F.coalesce("dealt", F.lit(0)).cast("bigint").alias("taken"))
 
 
 OP9_SQL = r"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
