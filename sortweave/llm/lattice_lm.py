@@ -2,8 +2,8 @@
 
 The pieces of a public subword vocabulary span a lattice over each word (with the blank before it), and so does
 the word itself, as one edge, if training texts have it. Forward recursion in log space sums over all paths.
-The vocabulary's own scores, taken as ranks, weight the first lattice; the expected counts of pieces over training words that are rare
-in their block, which resemble words to come, give the probabilities that score.
+The vocabulary's own scores, taken as ranks, weight the first lattice; the expected counts of pieces over the distinct training words, each once
+whatever block or how many copies it stands in, give the probabilities that score.
 
 With c occurrences of a word, N training tokens and V distinct ones, its probability is (c + (V + 1/2) * L) / (N + V + 1), L
 being the product sum over its pieces: pieces that begin a word are one distribution, all others and the stop
@@ -29,7 +29,7 @@ BLOCK = 8 << 20
 #: Added to the expected count of every piece, and to a rank that is taken as a Zipf weight.
 SMOOTH, RANK = 0.1, 10.0
 _BASE, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
-_SPACE, _END, _STOP = b" ", -1, -2
+_SPACE, _STOP = b" ", -2
 
 
 def vocabulary(path: str | None = None) -> list[tuple[bytes, float]]:
@@ -300,30 +300,29 @@ def _keys(words: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.int64).reshape(-1, 2)
 
 
-def _gather(sent):
-    """Of each block: a row (block, k1, k2, n) for each distinct word, n times in training texts; and (null, piece, null, count) of expected counts."""
-    names = ["block", "k1", "k2", "n", "uses"]
+def _gather(batches):
+    """Of each block: a row (block, k1, k2, n, word) for each distinct word, n times in training texts."""
+    for b in batches:
+        for block, held, texts in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+            words, number, sizes = _dictionary(texts.as_py())
+            n = np.bincount(number[np.repeat(~np.array(held, bool), sizes)], minlength=len(words))
+            keys = _keys(words)
+            for at in range(0, len(words), 50_000):
+                k, m = keys[at : at + 50_000], n[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block)), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(m.astype(np.int32)), pa.array(words[at : at + 50_000], pa.binary())], ["block", "k1", "k2", "n", "word"])
+
+
+def _learn(sent):
+    """(piece, uses): expected counts of pieces, and of stops, over words that count once each."""
 
     def run(batches):
         trie, log_p = sent.value
-        uses, documents, stops = np.zeros(len(log_p)), 0, 0
+        uses, stops = np.zeros(len(log_p)), 0
         for b in batches:
-            for block, held, texts in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
-                words, number, sizes = _dictionary(texts.as_py())
-                train = ~np.array(held, bool)
-                documents += int(train.sum())
-                n = np.bincount(number[np.repeat(train, sizes)], minlength=len(words))
-                seen = np.flatnonzero(n)
-                rare = seen[n[seen] == 1]
-                uses += expected_counts(trie, log_p, [words[i] for i in rare], n[rare])
-                stops += len(rare)
-                keys = _keys(words)
-                for at in range(0, len(words), 50_000):
-                    k, m = keys[at : at + 50_000], n[at : at + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block)), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(m.astype(np.int32)), pa.nulls(len(k), pa.float64())], names)
+            uses += expected_counts(trie, log_p, b.column(0).to_pylist(), np.ones(b.num_rows, np.int64))
+            stops += b.num_rows
         used = np.flatnonzero(uses)
-        ids = pa.array(np.append(used, [_END, _STOP]).astype(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int64()), ids, pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.int32()), pa.array(np.append(uses[used], [float(documents), float(stops)]))], names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, _STOP).astype(np.int64)), pa.array(np.append(uses[used], float(stops)))], ["piece", "uses"])
 
     return run
 
@@ -372,7 +371,7 @@ def score(docs: DataFrame, held: str = "held_out", pieces: list[tuple[bytes, flo
     Learns from the rows that aren't held out, all of them. Null and blank texts are the end token alone; null ids stay
     null; repeated rows count and are scored each; with nothing to learn from, counts are 0; an empty table gives none; further columns are left out.
 
-    Texts are kept in blocks of bounded size. Of each block only its distinct words leave, as keys with counts, and only
+    Texts are kept in blocks of bounded size. Of each block only its distinct words leave, with keys and counts, and only
     words that other blocks have too come back to it with their count over all, so a frequent word is one row a block.
     Pieces' expected counts are a vocabulary's worth of numbers for each task, summed by Spark.
     """
@@ -382,27 +381,27 @@ def score(docs: DataFrame, held: str = "held_out", pieces: list[tuple[bytes, flo
     first = normalise([p for p, _ in table], -np.log(RANK - np.array([s for _, s in table])), 0.0)[0]
     rows = columns_free_of(docs, ["doc_id", held, "text"]).select(F.col("doc_id").cast("bigint").alias("doc_id"), held, "text")
     blocks = keep(rows.mapInArrow(_blocks(block), "block bigint, doc_ids array<bigint>, held_out array<boolean>, texts array<string>"), "lm-blocks")
-    gathered = keep(blocks.mapInArrow(_gather(spark.sparkContext.broadcast((trie, first))), "block bigint, k1 bigint, k2 bigint, n int, uses double"), "lm-words")
-
-    uses = gathered.where("block is null").groupBy("k1").agg(F.sum("uses").alias("uses")).collect()  # a row for each piece of the vocabulary
-    counts = np.zeros(len(table))
-    documents, stops = 0, 0.0
-    for r in uses:
-        if r["k1"] == _END:
-            documents = int(r["uses"])
-        elif r["k1"] == _STOP:
-            stops = r["uses"]
-        else:
-            counts[r["k1"]] = r["uses"]
-    log_p, log_stop = normalise([p for p, _ in table], np.log(counts + SMOOTH), float(np.log(stops + SMOOTH)))
+    gathered = blocks.mapInArrow(_gather, "block bigint, k1 bigint, k2 bigint, n int, word binary")
+    documents = blocks.agg(F.coalesce(F.sum(F.size(F.filter("held_out", lambda x: ~x))), F.lit(0))).first()[0]
 
     word = Window.partitionBy("k1", "k2")
     seen = Observation("words")
-    counted = gathered.where("block is not null").select("block", "k1", "k2", F.sum("n").over(word).alias("c"), F.count(F.lit(1)).over(word).alias("blocks"), F.min("block").over(word).alias("home"))
+    counted = gathered.select("block", "k1", "k2", "word", F.sum("n").over(word).alias("c"), F.count(F.lit(1)).over(word).alias("blocks"), F.min("block").over(word).alias("home"))
     counted = counted.observe(seen, F.coalesce(F.sum(F.when(F.col("block") == F.col("home"), F.col("c"))), F.lit(0)).alias("tokens"), F.count_if((F.col("block") == F.col("home")) & (F.col("c") > 0)).alias("distinct"))
-    answers = keep(counted.where("blocks > 1").select("block", "k1", "k2", "c"), "lm-counts")
+    counted = counted.withColumn("word", F.when((F.col("block") == F.col("home")) & (F.col("c") > 0), F.col("word")))  # of each training word one row has it
+    answers = keep(counted.where("blocks > 1 or word is not null").select("block", "k1", "k2", "c", "blocks", "word"), "lm-counts")
     found = seen.get
-    told = answers.groupBy("block").agg(F.collect_list(F.struct("k1", "k2", "c")).alias("told"))  # a block's own words: bounded by its size
+
+    learnt = answers.where("word is not null").select("word").mapInArrow(_learn(spark.sparkContext.broadcast((trie, first))), "piece bigint, uses double")
+    counts, stops = np.zeros(len(table)), 0.0
+    for r in learnt.groupBy("piece").agg(F.sum("uses").alias("uses")).collect():  # a row for each piece of the vocabulary
+        if r["piece"] == _STOP:
+            stops = r["uses"]
+        else:
+            counts[r["piece"]] = r["uses"]
+    log_p, log_stop = normalise([p for p, _ in table], np.log(counts + SMOOTH), float(np.log(stops + SMOOTH)))
+
+    told = answers.where("blocks > 1").select("block", "k1", "k2", "c").groupBy("block").agg(F.collect_list(F.struct("k1", "k2", "c")).alias("told"))  # a block's own words: bounded by its size
     sent = spark.sparkContext.broadcast((trie, log_p, log_stop, found["tokens"] + documents, found["distinct"] + (documents > 0), documents))
     joined = blocks.join(told, "block", "left").select("block", "doc_ids", "held_out", "texts", "told")
     return joined.mapInArrow(_score(sent), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
