@@ -134,6 +134,12 @@ def argsort(spark, d):
     return sort.argsort(docs, F.substring("text", 1, 1), "doc_id")
 
 
+@query("SELECT row_number() OVER (ORDER BY encode(text) ASC NULLS LAST, doc_id) AS pos, doc_id FROM documents")
+def argsort_text(spark, d):
+    """Indices of all documents in the order of the bytes of the whole text, nulls last; ``argsort`` has those that begin with ASCII only."""
+    return sort.argsort(table(spark, d, "documents"), F.encode("text", "UTF-8"), "doc_id")
+
+
 @query("SELECT row_number() OVER (ORDER BY n_chars NULLS LAST, doc_id) AS pos, doc_id, n_chars, md5(text) AS digest FROM documents")
 def argsort_take(spark, d):
     docs = table(spark, d, "documents")
