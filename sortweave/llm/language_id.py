@@ -264,25 +264,29 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, calibration_docs: int = C
     """Learns from (doc_id, text, lang) of documents that are not held out and have a language.
 
     Of each language about ``train_docs`` documents are used whole, by a hash of the id, and about
-    ``calibration_docs`` others to calibrate; languages with fewer are used whole, a fifth of it to calibrate.
+    ``calibration_docs`` others to calibrate; languages with fewer are used whole, a fifth of it to calibrate,
+    or nothing of it where that would leave none to learn from.
     N-grams are counted on the executors; the driver gets the sample's distinct n-grams and the calibration texts.
     """
     usable = columns_free_of(docs, ["doc_id", "text", "lang"]).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     lot = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
     wanted = train_docs + calibration_docs
-    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # a row for each language
+    seen = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.min(lot).alias("least")).collect()  # a row for each language
+    sizes = {r["lang"]: r["docs"] for r in seen}
     if not sizes:
         return Models([])
     share = F.element_at(F.create_map(*(x for k, v in sizes.items() for x in (F.lit(k), F.lit(min(1.0, wanted / v))))), F.col("lang"))
     part = F.col("lot") / share
     sample = usable.select("lang", "text", lot.alias("lot")).where(F.col("lot") < share)
     cut = train_docs / wanted
-    counted = sample.where(part < cut).select("lang", "text").mapInArrow(_count, "lang string, key bigint, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    untrained = [r["lang"] for r in seen if r["least"] / min(1.0, wanted / r["docs"]) >= cut]  # few documents, all for calibration by their lots
+    trains = (part < cut) | F.col("lang").isin(untrained)
+    counted = sample.where(trains).select("lang", "text").mapInArrow(_count, "lang string, key bigint, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     if counted.empty:
         return Models([])
     languages = sorted(counted["lang"].unique())
     model = kneser_ney(counted["key"].to_numpy(np.int64).view(np.uint64), np.searchsorted(languages, counted["lang"]), counted["n"].to_numpy(np.int64), languages)
-    held = [r for r in sample.where(part >= cut).select("lang", "text").collect() if r["lang"] in languages]
+    held = [r for r in sample.where(~trains).select("lang", "text").collect() if r["lang"] in languages]
     return calibrate(model, [r["text"] for r in held], np.array([languages.index(r["lang"]) for r in held], np.int64)) if held else model
 
 
