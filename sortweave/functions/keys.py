@@ -75,3 +75,13 @@ def sort_key(key: Column, order: str = "O1") -> Column:
 def midpoint(a: Column, b: Column) -> Column:
     """floor((a + b) / 2) without overflow."""
     return a.bitwiseAND(b) + F.shiftright(a.bitwiseXOR(b), 1)
+
+
+def increment(k: Column) -> Column:
+    """The next key; the 64 bits wrap around."""
+    return F.when(k == F.lit((1 << 63) - 1), F.lit(SIGN)).otherwise(k + F.when(k < F.lit((1 << 63) - 1), 1).otherwise(0))
+
+
+def decrement(k: Column) -> Column:
+    """The key before; the 64 bits wrap around."""
+    return F.when(k == F.lit(SIGN), F.lit((1 << 63) - 1)).otherwise(k - F.when(k > F.lit(SIGN), 1).otherwise(0))

@@ -20,6 +20,11 @@ def per_unit(amount: Column, units: Column) -> Column:
     return amount.cast("double") / F.nullif(units.cast("double"), F.lit(0.0))
 
 
+def mean_of(ratio: Column) -> Column:
+    """The mean of ratios that are there, an aggregate; each counts once, whatever it was taken over."""
+    return F.avg(ratio)
+
+
 def clean_double(text: Column) -> Column:
     """Number from text padded with spaces, tabs or no-break spaces; null where it isn't one."""
     return F.regexp_replace(text, r"^[\s ]+|[\s ]+$", "").try_cast("double")

@@ -54,6 +54,20 @@ def size_bytes(text: Column) -> Column:
     return F.when(size > 0, size)
 
 
+def size_text(size: Column) -> Column:
+    """``format_size`` as a column."""
+    out = F.concat(size.cast("string"), F.lit("B"))
+    for power, unit in enumerate("KMGT", 1):
+        out = F.when(size >= 1 << (10 * power), F.concat(F.shiftright(size, 10 * power).cast("string"), F.lit(unit))).otherwise(out)
+    return out
+
+
+def records_in(total: Column, key_bytes: int, value_bytes: int) -> tuple[Column, Column]:
+    """``record_counts`` as columns: whole records in a size, and the bytes left over."""
+    width = F.lit(key_bytes + value_bytes)
+    return F.floor(total / width).cast("bigint"), total % width
+
+
 def run_count(rows: Column, run_rows: int) -> Column:
     """Runs of ``run_rows`` rows that ``rows`` rows fill, the last one perhaps in part."""
     return F.floor((rows + F.lit(run_rows - 1)) / F.lit(run_rows)).cast("bigint")

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sortweave.functions.keys import sort_key
+from sortweave.storage import keep
 
-#: Keys sampled for each range; the sample that reaches the driver is this times the number of ranges.
-SAMPLED_PER_RANGE = 100
+#: monotonically_increasing_id() has the partition above so many bits, and the row in its partition below.
+ROW_BITS = 33
 
 
 def sort_records(df: DataFrame, order: str = "O1", ties: Sequence[str] = ()) -> DataFrame:
@@ -34,25 +39,42 @@ def sort_parts(df: DataFrame, parts: int, *by: str | Column) -> DataFrame:
     return df.repartitionByRange(parts, *by).sortWithinPartitions(*by)
 
 
-def range_bounds(df: DataFrame, key: Column, parts: int, seed: int = 7) -> list:
-    """At most ``parts - 1`` ascending non-null keys that cut ``df`` into similar ranges.
-
-    The driver receives a sample of SAMPLED_PER_RANGE * parts keys, whatever the size of ``df``.
-    """
-    keys = df.select(key.alias("k")).where("k is not null")
-    wanted = SAMPLED_PER_RANGE * parts
-    share = min(1.0, 1.2 * wanted / max(1, keys.count()))
-    sampled = [x[0] for x in keys.sample(False, share, seed).orderBy("k").limit(2 * wanted).collect()]
-    cuts = (sampled[i * len(sampled) // parts] for i in range(1, parts) if sampled)
-    return list(dict.fromkeys(cuts))
-
-
-def range_index(key: Column, bounds: list, nulls_last: bool = False) -> Column:
-    """Number of bounds below the key; equal keys always share an index. Nulls take the first or the last."""
-    if not bounds:
-        return F.lit(0)
-    at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < key))
-    return F.coalesce(F.when(key.isNotNull(), at), F.lit(len(bounds) if nulls_last else 0))
+def single_file(df: DataFrame, *by: str | Column) -> DataFrame:
+    """One sorted partition, which is written as one file: for outputs that one task can write."""
+    return df.coalesce(1).sortWithinPartitions(*by)
+
+
+def ranged(df: DataFrame, by: Sequence[Column], parts: int | None = None) -> DataFrame:
+    """Partitions of ascending ranges of ``by``, each sorted. Rows that are equal in ``by`` may be split: their number decides last."""
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    order = [*by, F.col("_tie")]
+    dealt = tied.repartitionByRange(parts, *order) if parts else tied.repartitionByRange(*order)
+    return dealt.sortWithinPartitions(*order).drop("_tie")
+
+
+def _first_of_key(batches):
+    """Adds to rows in order of _k the place in this partition of the first row of the same key."""
+    last, first, at = None, 0, 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = b.column(b.schema.get_field_index("_k"))
+        if keys.type == pa.null():
+            new = np.zeros(b.num_rows, bool)
+        else:
+            joined = pa.concat_arrays([pa.array([None if last is None else last.as_py()], keys.type), keys])
+            x, y = joined.slice(0, b.num_rows), joined.slice(1)
+            unlike = pc.fill_null(pc.not_equal(x, y), False)
+            if pa.types.is_floating(keys.type):
+                unlike = pc.and_not(unlike, pc.fill_null(pc.and_(pc.is_nan(x), pc.is_nan(y)), False))
+            new = pc.or_(unlike, pc.xor(pc.is_null(x), pc.is_null(y))).to_numpy(zero_copy_only=False).copy()
+        if not at:
+            new[0] = True
+        starts = np.where(new, np.arange(at, at + b.num_rows), -1)
+        starts[0] = max(starts[0], first)
+        starts = np.maximum.accumulate(starts)
+        last, first, at = keys[-1], int(starts[-1]), at + b.num_rows
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(starts)], [*b.schema.names, "_first"])
 
 
 def with_position(
@@ -60,27 +82,42 @@ def with_position(
 ) -> DataFrame:
     """Adds the 1-based BIGINT position of each row in the global order of (key, ties).
 
-    Rows are cut into ranges at literal bounds, numbered inside each range, and shifted by the number of
-    rows in the ranges before. Only one row for each range meets in a single task, and that table of at
-    most ``parts`` rows is what is broadcast. ``ranked`` gives rank() of the key instead: equal keys share
-    the position of the first. Equal keys stay in one range, so a key that holds most of the rows needs
-    a key with its tie-breaker inside (pass a struct) to be split.
+    Rows are dealt out by ranges of (key, ties, a number of the row), sorted and numbered in their range, and kept in the
+    shared folder, so the input is read twice: once for the ranges' sample. Each range is then shifted by the rows of those before it, a
+    broadcast of at most ``parts`` rows (spark.sql.shuffle.partitions by default). A key that holds most rows spans as many
+    ranges as it needs. Rows that tie in all are numbered once, in any order. ``ranked`` gives rank() of the
+    key instead: equal keys, of an atomic type, share the position of the first, over as many ranges as they span.
     """
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = range_bounds(df, key, parts)
-    dealt = df.withColumn("_range", range_index(key, bounds, nulls_last))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
-    counts = counts.select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_range").orderBy(key.asc_nulls_last() if nulls_last else key.asc_nulls_first(), *(() if ranked else ties))
-    number = F.rank() if ranked else F.row_number()
-    numbered = dealt.withColumn("_in", number.over(inside)).join(F.broadcast(counts), "_range")
-    return numbered.withColumn(name, (F.col("_in") + F.col("_before")).cast("bigint")).drop("_range", "_in", "_before")
+    k = F.col("_k")
+    keyed = ranged(df.withColumn("_k", key), [k.asc_nulls_last() if nulls_last else k.asc_nulls_first(), *ties], parts)
+    if ranked:
+        keyed = keyed.mapInArrow(_first_of_key, T.StructType([*keyed.schema.fields, T.StructField("_first", T.LongType())]))
+    else:
+        keyed = keyed.drop("_k")
+    kept = keep(keyed.withColumn("_id", F.monotonically_increasing_id()), "positions")
+    kept = kept.withColumn("_range", F.shiftright("_id", ROW_BITS)).withColumn("_in", F.col("_id").bitwiseAND(F.lit((1 << ROW_BITS) - 1)))
+    order = Window.orderBy("_range")
+    before = F.coalesce(F.sum("_rows").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if not ranked:
+        counts = kept.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows")).select("_range", before.alias("_before"))
+        at = F.col("_in") + F.col("_before") + 1
+    else:
+        ends = kept.groupBy("_range").agg(
+            F.count(F.lit(1)).alias("_rows"), F.min_by(F.struct("_k"), "_in").alias("_lo"), F.max_by(F.struct("_k"), "_in").alias("_hi"), F.max("_first").alias("_last")
+        ).withColumn("_before", before)
+        opens = ~F.col("_lo").eqNullSafe(F.lag("_hi").over(order))
+        began = F.when(F.col("_last") > 0, F.col("_before") + F.col("_last")).when(F.col("_opens"), F.col("_before"))
+        earlier = F.max("_began").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        ends = ends.withColumn("_opens", opens).withColumn("_began", began)
+        counts = ends.select("_range", "_before", F.when(F.col("_opens"), F.col("_before")).otherwise(earlier).alias("_start"))
+        at = F.when(F.col("_first") == 0, F.col("_start")).otherwise(F.col("_before") + F.col("_first")) + 1
+    placed = kept.join(F.broadcast(counts), "_range").withColumn(name, at.cast("bigint"))
+    return placed.drop("_range", "_id", "_in", "_k", "_first", "_before", "_start")
 
 
 def argsort(df: DataFrame, key: Column, index: str, ties: Sequence[Column] = ()) -> DataFrame:
     """(pos, index): the row index that comes at each position; ascending, nulls last."""
-    return with_position(df.select(key.alias("_k"), index), F.col("_k"), ties or [F.col(index)], nulls_last=True).select("pos", index)
+    return with_position(df.select(key.alias("_key"), index), F.col("_key"), ties or [F.col(index)], nulls_last=True).select("pos", index)
 
 
 def take(df: DataFrame, indices: DataFrame, index: str) -> DataFrame:

@@ -15,6 +15,15 @@ def rank_count(df: DataFrame, key: Column, at: Column) -> DataFrame:
     return df.agg(F.count_if(key <= at).cast("bigint").alias("rank_count"))
 
 
+#: Rows that a part is to have, about, and the deepest cut: the driver gets CELLS rows a part in each step.
+PART_ROWS, DEEPEST = 1 << 25, 12
+
+
+def parts_depth(rows: int, part_rows: int = PART_ROWS) -> int:
+    """Levels of halving after which a part has about ``part_rows`` rows."""
+    return min(DEEPEST, max(1, (max(1, rows) - 1) // part_rows).bit_length())
+
+
 def exact_parts(df: DataFrame, key: Column, depth: int, name: str = "part") -> tuple[DataFrame, list[dict]]:
     """Cuts rows into at most 2**depth parts by repeated exact medians; equal keys stay together.
 

@@ -5,25 +5,61 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sortweave.functions.keys import sort_key
 
 
-def inversions(df: DataFrame, key: Column, pos: str, block: int = 1 << 20) -> DataFrame:
-    """One row with n and inversions: positions whose key is below that of the position before.
-
-    Neighbours are compared inside blocks of ``block`` positions; the first row of a block is also sent
-    to the block before it, so that each pair of neighbours meets exactly once and no task sees all rows.
+def _adjacent(schema: pa.Schema):
+    """One row for a sorted partition of (key, group): its rows, inversions inside, and what it begins and ends with."""
+
+    def run(batches):
+        n = bad = 0
+        lo = hi = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k, g = b.column(0), b.column(1)
+            if hi is not None:
+                k, g = (pa.concat_arrays([pa.array([x], c.type), c]) for x, c in zip(hi, (k, g), strict=True))
+            else:
+                lo = (k[0].as_py(), g[0].as_py())
+            m = len(k) - 1
+            falls, same = pc.less(k.slice(1), k.slice(0, m)), pc.equal(g.slice(1), g.slice(0, m))
+            bad += int(np.count_nonzero(pc.fill_null(pc.and_(falls, same), False).to_numpy(zero_copy_only=False)))
+            hi, n = (k[m].as_py(), g[m].as_py()), n + b.num_rows
+        if n:
+            values = (TaskContext.get().partitionId(), n, bad, *lo, *hi)
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, schema.types, strict=True)], schema=schema)
+
+    return run
+
+
+def inversions(df: DataFrame, key: Column, pos: str, group: str | None = None) -> DataFrame:
+    """One row with n and inversions: rows whose key is below that of the row before, in the order of ``pos``.
+
+    Positions may have gaps. Rows of one position are taken in key order; a null key is below and above nothing. With ``group`` the order is
+    (group, pos), and only neighbours in one group count. Rows are dealt out by ranges of the order and checked
+    as they stream by; a row for each range then meets its neighbours. Keys must be of an atomic type.
     """
-    at = df.select(key.alias("k"), F.col(pos).alias("p"))
-    own = at.withColumn("b", F.floor(F.col("p") / block)).withColumn("own", F.lit(1))
-    edge = own.where(F.pmod("p", F.lit(block)) == 0).withColumn("b", F.col("b") - 1).withColumn("own", F.lit(0))
-    last = F.lag("k").over(Window.partitionBy("b").orderBy("p"))
-    first = F.lag("p").over(Window.partitionBy("b").orderBy("p"))
-    seen = own.unionByName(edge).withColumn("bad", F.when(first == F.col("p") - 1, (F.col("k") < last).cast("bigint")))
-    return seen.agg(F.coalesce(F.sum("own"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("inversions"))
+    at = df.select(key.alias("k"), (F.col(group) if group else F.lit(0)).alias("g"), F.col(pos).alias("p")).where("p is not null")
+    by = ["g", "p", "k"]
+    ordered = at.repartitionByRange(*by).sortWithinPartitions(*by).select("k", F.coalesce(F.col("g").cast("bigint"), F.lit(-1)).alias("g"))
+    kind = ordered.schema["k"].dataType
+    out = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("bad", T.LongType()), T.StructField("lo", kind), T.StructField("lo_g", T.LongType()), T.StructField("hi", kind), T.StructField("hi_g", T.LongType())])
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    ends = ordered.mapInArrow(_adjacent(to_arrow_schema(out)), out)
+    order = Window.orderBy("part")
+    seam = ((F.col("lo") < F.lag("hi").over(order)) & (F.col("lo_g") == F.lag("hi_g").over(order))).cast("bigint")
+    seams = ends.withColumn("seam", F.coalesce(seam, F.lit(0)))
+    return seams.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("bad") + F.col("seam")), F.lit(0)).alias("inversions"))
 
 
 def boundaries(df: DataFrame, key: Column, part: str) -> DataFrame:
@@ -34,11 +70,27 @@ def boundaries(df: DataFrame, key: Column, part: str) -> DataFrame:
     return parts.withColumn("misplaced", F.coalesce((F.col("lo") < F.max("hi").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).cast("bigint"), F.lit(0)))
 
 
+def row_text(df: DataFrame, columns: Sequence[str]) -> Column:
+    """A text that no other row has: each value as hex with its length before it; null, which has no length, as ``n``."""
+    kinds = dict(df.dtypes)
+    out = []
+    for c in columns:
+        hexed = F.hex(c if kinds[c] == "binary" else F.encode(F.col(c).cast("string"), "UTF-8"))
+        out.append(F.coalesce(F.concat(F.length(hexed).cast("string"), F.lit(":"), hexed), F.lit("n")))
+    return F.concat(*out)
+
+
 def multiset(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Row count and an order-free 64-bit sum over row digests: equal for permutations of the same rows."""
-    text = F.concat_ws("|", *(F.coalesce(F.hex(c) if dict(df.dtypes)[c] == "binary" else F.col(c).cast("string"), F.lit("~")) for c in columns))
-    word = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
-    return df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(word), F.lit(0)).cast("bigint").alias("digest"))
+    """n, and two order-free sums of 64-bit halves of row digests, as texts: equal for permutations of the same rows."""
+    digest = F.md5(row_text(df, columns).cast("binary"))
+    halves = [F.conv(F.substring(digest, 1 + 16 * i, 16), 16, 10).cast("decimal(20,0)") for i in range(2)]
+    sums = [F.coalesce(F.sum(h), F.lit(0)).cast("decimal(38,0)").cast("string") for h in halves]
+    return df.agg(F.count(F.lit(1)).alias("n"), sums[0].alias("digest_a"), sums[1].alias("digest_b"))
+
+
+def parts_sorted(df: DataFrame, key: Column, part: str, at: str) -> DataFrame:
+    """all_sorted: whether every part is in order in itself, by (part, at). True for no rows."""
+    return inversions(df, key, at, part).select((F.col("inversions") == 0).alias("all_sorted"))
 
 
 @dataclass(frozen=True)
@@ -54,13 +106,22 @@ class Report:
         return self.permutation and self.rows == self.rows_expected and not self.inversions and not self.misplaced_parts
 
 
+def report(result: DataFrame, source: DataFrame, order: str = "O1", part: str = "part", at: str = "row") -> DataFrame:
+    """One row: rows, rows_expected, inversions inside parts, misplaced_parts, permutation, ok."""
+    keyed = result.withColumn("_k", sort_key(F.col("key"), order))
+    bad = inversions(keyed, F.col("_k"), at, part).select("inversions")
+    misplaced = boundaries(keyed, F.col("_k"), part).agg(F.coalesce(F.sum("misplaced"), F.lit(0)).alias("misplaced_parts"))
+    mine, theirs = (multiset(x, ["key", "value"]) for x in (result, source))
+    theirs = theirs.toDF("rows_expected", "a", "b")
+    one = mine.crossJoin(theirs).crossJoin(bad).crossJoin(misplaced)  # four tables of one row
+    same = (F.col("n") == F.col("rows_expected")) & (F.col("digest_a") == F.col("a")) & (F.col("digest_b") == F.col("b"))
+    one = one.select(F.col("n").alias("rows"), "rows_expected", "inversions", "misplaced_parts", same.alias("permutation"))
+    return one.withColumn("ok", F.col("permutation") & (F.col("inversions") == 0) & (F.col("misplaced_parts") == 0))
+
+
 def verify(result: DataFrame, source: DataFrame, order: str = "O1", part: str = "part", at: str = "row") -> Report:
     """Checks records (key, value) numbered by (part, row) against the source they were sorted from.
 
     ``fixedkv`` reads give both columns when asked for positions. Equal keys are in order."""
-    keyed = result.withColumn("_k", sort_key(F.col("key"), order))
-    last = F.lag("_k").over(Window.partitionBy(part).orderBy(at))
-    bad = keyed.withColumn("_bad", (F.col("_k") < last).cast("int")).agg(F.coalesce(F.sum("_bad"), F.lit(0))).first()[0]
-    misplaced = boundaries(keyed, F.col("_k"), part).agg(F.coalesce(F.sum("misplaced"), F.lit(0))).first()[0]
-    mine, theirs = (multiset(x, ["key", "value"]).first() for x in (result, source))
-    return Report(mine["n"], theirs["n"], bad, misplaced, mine == theirs)
+    found = report(result, source, order, part, at).first()
+    return Report(found["rows"], found["rows_expected"], found["inversions"], found["misplaced_parts"], found["permutation"])

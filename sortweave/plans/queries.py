@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from sortweave.functions import keys, metrics, records, sizes
 from sortweave.operators import merge, runs, sort, split, verify
+from sortweave.sources import convert, counters, fixedkv
 from sortweave.sources import generate as generator
+from sortweave.storage import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -82,8 +84,8 @@ def sort_key_be_unsigned(spark, d):
 def sort_key_be_signed(spark, d):
     lines = table(spark, d, "lineitem").select("l_orderkey").distinct()
     keyed = lines.select("l_orderkey", keys.key_of_long(keys.bswap64(F.col("l_orderkey"))).alias("key"))
-    placed = sort.with_position(keyed, keys.sort_key(F.col("key"), "O3"), [F.col("l_orderkey")])
-    return placed.select("pos", "l_orderkey", keys.long_of_key(F.col("key")).alias("key_value"))
+    read = keyed.select("l_orderkey", keys.sort_key(F.col("key"), "O3").alias("key_value"))  # what the order reads from the bytes, once
+    return sort.with_position(read, F.col("key_value"), [F.col("l_orderkey")]).select("pos", "l_orderkey", "key_value")
 
 
 @query(f"""WITH k AS (SELECT DISTINCT l_orderkey, {_SWAPPED} AS v FROM lineitem)
@@ -92,8 +94,8 @@ def sort_key_le_signed(spark, d):
     """O2 of keys stored big-endian: the bytes read from the other end."""
     lines = table(spark, d, "lineitem").select("l_orderkey").distinct()
     keyed = lines.select("l_orderkey", keys.key_of_long(F.col("l_orderkey")).alias("key"))
-    order = keys.sort_key(F.col("key"), "O2")
-    return sort.with_position(keyed, order, [F.col("l_orderkey")]).select("pos", "l_orderkey", order.alias("key_value"))
+    read = keyed.select("l_orderkey", keys.sort_key(F.col("key"), "O2").alias("key_value"))
+    return sort.with_position(read, F.col("key_value"), [F.col("l_orderkey")]).select("pos", "l_orderkey", "key_value")
 
 
 @query(f"""WITH k AS (SELECT DISTINCT l_orderkey, {_unsigned_sql(_SWAPPED)} AS v FROM lineitem)
@@ -101,9 +103,9 @@ def sort_key_le_signed(spark, d):
 def sort_key_le_unsigned(spark, d):
     lines = table(spark, d, "lineitem").select("l_orderkey").distinct()
     keyed = lines.select("l_orderkey", keys.key_of_long(F.col("l_orderkey")).alias("key"))
-    order = keys.sort_key(F.col("key"), "O4")
-    value = keys.unsigned_decimal(keys.flip_sign(order)).cast("string").alias("key_value")
-    return sort.with_position(keyed, order, [F.col("l_orderkey")]).select("pos", "l_orderkey", value)
+    read = keyed.select("l_orderkey", keys.sort_key(F.col("key"), "O4").alias("order"))
+    value = keys.unsigned_decimal(keys.flip_sign(F.col("order"))).cast("string").alias("key_value")
+    return sort.with_position(read, F.col("order"), [F.col("l_orderkey")]).select("pos", "l_orderkey", value)
 
 
 @query("""WITH k AS (SELECT doc_id, hex(encode(text)[1:10]) AS key_hex FROM documents)
@@ -126,17 +128,15 @@ def sort_nulls_last(spark, d):
     return sort.with_position(keyed, F.col("k"), [F.col("event_id")], nulls_last=True)
 
 
-@query("""SELECT row_number() OVER (ORDER BY decode(encode(text)[1:1]), doc_id) AS pos, doc_id FROM documents
-    WHERE ascii(text) < 128""")
+@query("SELECT row_number() OVER (ORDER BY hex(encode(text)[1:1]) ASC NULLS LAST, doc_id) AS pos, doc_id FROM documents")
 def argsort(spark, d):
-    """Indices in key order; the key is a first byte that many documents share."""
-    docs = table(spark, d, "documents").where(F.ascii("text") < 128)
-    return sort.argsort(docs, F.substring("text", 1, 1), "doc_id")
+    """Indices of all documents in key order; the key is a first byte that many of them share, nulls last."""
+    return sort.argsort(table(spark, d, "documents"), F.substring(F.encode("text", "UTF-8"), 1, 1), "doc_id")
 
 
 @query("SELECT row_number() OVER (ORDER BY encode(text) ASC NULLS LAST, doc_id) AS pos, doc_id FROM documents")
 def argsort_text(spark, d):
-    """Indices of all documents in the order of the bytes of the whole text, nulls last; ``argsort`` has those that begin with ASCII only."""
+    """Indices of all documents in the order of the bytes of the whole text, nulls last."""
     return sort.argsort(table(spark, d, "documents"), F.encode("text", "UTF-8"), "doc_id")
 
 
@@ -280,12 +280,8 @@ def merge_k_way(spark, d):
     " row_number() OVER (PARTITION BY (CASE WHEN o_custkey <= a THEN 0 WHEN o_custkey <= mid THEN 1 WHEN o_custkey <= c THEN 2 ELSE 3 END) ORDER BY o_custkey, o_orderkey) AS part_pos, o_custkey, o_orderkey FROM orders, q, m")
 def merge_by_parts(spark, d):
     """Runs cut at shared exact splitters; each part is merged on its own."""
-    from functools import reduce
-
-    all_runs = reduce(DataFrame.unionByName, _order_runs(spark, d, 3)).select("o_custkey", "o_orderkey")
-    parts, _ = split.exact_parts(all_runs, F.col("o_custkey"), 2)
-    merged = runs.sort_runs(parts.withColumnRenamed("part", "run_id"), F.col("o_custkey"), [F.col("o_orderkey")])
-    return merged.select(F.col("run_id").alias("part"), F.col("run_pos").alias("part_pos"), "o_custkey", "o_orderkey")
+    merged = merge.merge_by_parts(_order_runs(spark, d, 3), F.col("o_custkey"), [F.col("o_orderkey")], depth=2)
+    return merged.select("part", "part_pos", "o_custkey", "o_orderkey")
 
 
 # ---- verification ----
@@ -301,7 +297,7 @@ def verify_inversions(spark, d):
     SELECT count(*)::BIGINT AS n, count(*) FILTER (WHERE k < p)::BIGINT AS inversions FROM w""")
 def verify_sorted(spark, d):
     """The same check passes on what the sort gives."""
-    return verify.inversions(sort_pos(spark, d), F.col("o_totalprice"), "pos", 1000)
+    return verify.inversions(sort_pos(spark, d), F.col("o_totalprice"), "pos")
 
 
 @query("""WITH p AS (SELECT o_custkey % 7 AS part, count(*) AS n, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders GROUP BY 1)
@@ -310,9 +306,103 @@ def verify_boundaries(spark, d):
     return verify.boundaries(table(spark, d, "orders").withColumn("part", F.col("o_custkey") % 7), F.col("o_orderkey"), "part")
 
 
-@query("""SELECT count(*) AS n, sum(('0x' || substring(md5(concat_ws('|', o_orderkey, o_custkey, o_orderstatus, o_orderpriority)), 1, 8))::BIGINT)::BIGINT AS digest FROM orders""")
+def _row_text_sql(columns: list[str]) -> str:
+    return " || ".join(f"coalesce((2 * strlen({c}::VARCHAR))::VARCHAR || ':' || hex({c}::VARCHAR), 'n')" for c in columns)
+
+
+_CHECKED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+
+
+@query(f"""WITH h AS (SELECT md5({_row_text_sql(_CHECKED)}) AS h FROM orders)
+    SELECT count(*) AS n, sum(('0x' || substring(h, 1, 16))::UBIGINT)::VARCHAR AS digest_a, sum(('0x' || substring(h, 17, 16))::UBIGINT)::VARCHAR AS digest_b FROM h""")
 def multiset_check(spark, d):
-    return verify.multiset(table(spark, d, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
+    return verify.multiset(table(spark, d, "orders"), _CHECKED)
+
+
+@query("""WITH l AS (SELECT o_custkey % 7 AS part, o_orderkey AS k, lag(o_orderkey) OVER (PARTITION BY o_custkey % 7 ORDER BY o_orderdate, o_orderkey) AS p FROM orders)
+    SELECT coalesce(bool_and(p IS NULL OR k >= p), true) AS all_sorted FROM l""")
+def verify_parts(spark, d):
+    """Whether each part is in order in itself; these are not."""
+    orders = table(spark, d, "orders").withColumn("part", F.col("o_custkey") % 7)
+    return verify.parts_sorted(orders, F.col("o_orderkey"), "part", "o_orderdate")
+
+
+# ---- files of fixed width ----
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as records of 8 key and 8 value bytes; half of the keys begin with a high bit."""
+    orders = table(spark, d, "orders")
+    return orders.select(keys.key_of_long(keys.bswap64(F.col("o_orderkey"))).alias("key"), keys.key_of_long(F.col("o_custkey")).alias("value"))
+
+
+def _stored(spark: SparkSession, records_: DataFrame, name: str) -> str:
+    fixedkv.register(spark)
+    path = new_path(spark, name)
+    records_.write.format("fixedkv").mode("append").save(path)
+    return path
+
+
+def _files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    return spark.read.format("fixedkv").option("positions", "true").load(paths)
+
+
+_ORDER_KEY = _SWAPPED.replace("l_orderkey", "o_orderkey")
+
+
+@query(f"""WITH k AS (SELECT {_unsigned_sql(_ORDER_KEY)} AS v, o_custkey FROM orders)
+    SELECT row_number() OVER (ORDER BY v, o_custkey) AS pos, lpad(printf('%x', v), 16, '0') AS key_hex, o_custkey AS value FROM k""")
+def fixedkv_round_trip(spark, d):
+    """Records written by ranges, one file a task, and read back: files in name order are in key order."""
+    path = _stored(spark, sort.ranged(_records(spark, d), [F.col("key"), F.col("value")]), "fixedkv")
+    placed = sort.with_position(_files(spark, path), F.col("part"), [F.col("row")])
+    return placed.select("pos", F.lower(F.hex("key")).alias("key_hex"), keys.long_of_key(F.col("value")).alias("value"))
+
+
+@query(f"""WITH k AS (SELECT {_unsigned_sql(_ORDER_KEY)} AS v, o_custkey FROM orders)
+    SELECT row_number() OVER (ORDER BY v, o_custkey) AS pos, lpad(printf('%x', v), 16, '0') AS key_hex, o_custkey AS value FROM k""")
+def fixedkv_merge(spark, d):
+    """Two sorted runs in folders of their own, loaded by a list of paths, merged to one file and read again."""
+    each = [_stored(spark, sort.ranged(run, [F.col("key"), F.col("value")]), f"run-{i}") for i, run in enumerate(_halves(spark, d))]
+    merged = merge.merge_runs([_files(spark, each).select("key", "value")], F.col("key"), F.col("value"))
+    whole = _stored(spark, sort.single_file(merged, "key", "value"), "merged")
+    return _files(spark, whole).select((F.col("row") + 1).alias("pos"), F.lower(F.hex("key")).alias("key_hex"), keys.long_of_key(F.col("value")).alias("value"))
+
+
+def _halves(spark: SparkSession, d: str) -> list[DataFrame]:
+    even = keys.long_of_key(F.col("value")) % 2 == 0
+    return [_records(spark, d).where(even), _records(spark, d).where(~even)]
+
+
+@query("""SELECT row_number() OVER (ORDER BY o_orderkey, o_custkey) AS pos, o_orderkey::VARCHAR AS key, lpad(printf('%x', o_custkey), 16, '0') AS value_hex FROM orders""")
+def parquet_convert(spark, d):
+    """Binary records with little-endian keys, converted to the Parquet layout and sorted from there."""
+    path = new_path(spark, "records-parquet")
+    convert.to_parquet(spark, _stored(spark, _records(spark, d), "records"), path)
+    placed = sort.with_position(spark.read.parquet(path), F.col("record.key"), [F.col("record.value")], nulls_last=True)
+    return placed.select("pos", F.col("record.key").cast("string").alias("key"), F.lower(F.hex("record.value")).alias("value_hex"))
+
+
+@query("SELECT count(*) AS rows, count(*) AS rows_expected, 0::BIGINT AS inversions, 0::BIGINT AS misplaced_parts, true AS permutation, true AS ok FROM orders")
+def verify_report(spark, d):
+    """A sorted write, checked against its source: order in each file, order of the files, and the same records."""
+    source = _records(spark, d)
+    return verify.report(_files(spark, _stored(spark, sort.ranged(source, [F.col("key")]), "checked")), source)
+
+
+@query("""WITH h AS (SELECT date_trunc('hour', ts) AS ts, max(value) AS r, min(value) AS w FROM events GROUP BY 1)
+    SELECT strftime(ts, '%H:%M:%S') || '.000' AS label, strftime(ts, '%Y-%m-%d') AS day, r / 1024 AS read_gb, w / 1024 AS write_gb, r / 1024 + w / 1024 AS total_gb FROM h""")
+def counter_log(spark, d):
+    """A CSV with two header rows and padded numbers, written from hourly readings and read back."""
+    hours = table(spark, d, "events").groupBy(F.date_trunc("hour", "ts").alias("ts")).agg(F.max("value").alias("r"), F.min("value").alias("w"))
+    reading = lambda c: F.concat(F.lit("  "), F.col(c).cast("string"), F.lit(" "))
+    body = hours.select(F.col("ts").alias("at"), F.concat_ws(",", F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "HH:mm:ss.SSS"), reading("r"), reading("w")).alias("line"))
+    head = spark.createDataFrame([(0, ",,System,"), (1, "Date,Time,Read,Write")], "n int, line string")
+    lines = head.select("n", F.lit(None).cast(body.schema["at"].dataType).alias("at"), "line").unionByName(body.select(F.lit(2).alias("n"), "at", "line"))
+    path = new_path(spark, "counters")
+    sort.single_file(lines, "n", "at").select("line").write.text(path)
+    log = counters.read_counters(spark, path)
+    return log.select("label", F.date_format("ts", "yyyy-MM-dd").alias("day"), "read_gb", "write_gb", "total_gb")
 
 
 # ---- codec, masks, metrics ----
@@ -365,6 +455,37 @@ def ratios(spark, d):
     return table(spark, d, "orders").select("o_orderkey", metrics.bandwidth_gib_s(F.col("o_custkey"), 1 + k % 9).alias("gib_s"), metrics.percent(k % 9, k % 4).alias("miss"))
 
 
+@query("""WITH t AS (SELECT o_custkey % 8 AS thread, 100.0::DOUBLE * sum(o_orderkey % 9) / nullif(sum(o_orderkey % 4 + 9), 0) AS miss FROM orders GROUP BY 1)
+    SELECT count(*) AS threads, round(avg(miss), 9) AS mean_miss FROM t""")
+def mean_ratio(spark, d):
+    """The mean over threads of each thread's own ratio."""
+    k = F.col("o_orderkey")
+    threads = table(spark, d, "orders").groupBy((F.col("o_custkey") % 8).alias("thread")).agg(metrics.percent(F.sum(k % 9), F.sum(k % 4 + 9)).alias("miss"))
+    return threads.agg(F.count(F.lit(1)).alias("threads"), F.round(metrics.mean_of(F.col("miss")), 9).alias("mean_miss"))
+
+
+@query(f"SELECT o_orderkey, o_orderkey + 1 AS next, o_orderkey - 1 AS previous, CASE WHEN s = 9223372036854775807 THEN -9223372036854775807 - 1 ELSE s + 1 END AS swapped_next FROM (SELECT o_orderkey, {_ORDER_KEY} AS s FROM orders)")
+def key_step(spark, d):
+    k = F.col("o_orderkey")
+    return table(spark, d, "orders").select("o_orderkey", keys.increment(k).alias("next"), keys.decrement(k).alias("previous"), keys.increment(keys.bswap64(k)).alias("swapped_next"))
+
+
+_FORMATTED = [(0, "0B"), (1, "1B"), (1023, "1023B"), (1024, "1K"), (1572864, "1M"), (1 << 30, "1G"), (5 << 40, "5T"), (3 << 50, "3072T")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({a}::BIGINT, '{b}')" for a, b in _FORMATTED) + ") AS t(n, s)")
+def size_format(spark, d):
+    return spark.createDataFrame([(a,) for a, _ in _FORMATTED], "n long").select("n", sizes.size_text(F.col("n")).alias("s"))
+
+
+@query("SELECT n_chars, n_chars // 100 AS records, n_chars % 100 AS left_over FROM (SELECT DISTINCT n_chars FROM documents)")
+def record_count(spark, d):
+    """Whole records of 10 + 90 bytes in a size, and the bytes left over."""
+    sizes_ = table(spark, d, "documents").select("n_chars").distinct()
+    records_, over = sizes.records_in(F.col("n_chars"), 10, 90)
+    return sizes_.select("n_chars", records_.alias("records"), over.alias("left_over"))
+
+
 _SIZES = [("77", 77), ("1024B", 1024), ("512kb", 524288), ("1M", 1048576), ("1MB", 1048576), ("1.5G", 1610612736), (" 2gb ", 2147483648), ("0", None), ("x", None), ("5T", 5497558138880)]
 
 

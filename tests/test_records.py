@@ -5,9 +5,10 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from sortweave import storage
 from sortweave.functions import keys, records, sizes
 from sortweave.operators import merge, runs, sort, split, verify
-from sortweave.sources import counters, fixedkv, generate
+from sortweave.sources import convert, counters, fixedkv, generate
 
 EXTREME = [bytes(8), b"\x7f" + b"\xff" * 7, b"\x80" + bytes(7), b"\xff" * 8, b"\x01" + bytes(6) + b"\x80"]
 
@@ -194,3 +195,92 @@ def test_run_positions(spark):
     assert [r.run_id for r in df.orderBy("id").collect()] == [0] * 4 + [1] * 4 + [2] * 2
     empty = runs.sort_runs(runs.assign_runs(spark.range(0), "id", 4), F.col("id"))
     assert empty.count() == 0
+
+
+def test_fixedkv_append_overwrite_and_lists(spark, tmp_path):
+    fixedkv.register(spark)
+    out = str(tmp_path / "kv")
+    data = pairs(10)
+    for _ in range(2):
+        frame(spark, data).write.format("fixedkv").mode("append").save(out)
+    read = spark.read.format("fixedkv").load(out)
+    assert sorted((bytes(r.key), bytes(r.value)) for r in read.collect()) == sorted(data * 2)
+    frame(spark, data[:3]).write.format("fixedkv").mode("overwrite").save(out)
+    assert spark.read.format("fixedkv").load(out).count() == 3
+    (tmp_path / "more.dat").write_bytes(b"".join(k + v for k, v in data))
+    several = spark.read.format("fixedkv").option("positions", "true").load([str(tmp_path / "more.dat"), out])
+    assert sorted((bytes(r.key), bytes(r.value)) for r in several.collect()) == sorted(data + data[:3])
+    assert [bytes(r.key) for r in several.where("part = 0").orderBy("row").collect()] == [k for k, _ in data]
+
+
+@pytest.mark.parametrize("bad", [(bytearray(7), bytearray(8)), (None, bytearray(8)), (bytearray(8), bytearray(9))])
+def test_fixedkv_refuses_other_widths(spark, tmp_path, bad):
+    fixedkv.register(spark)
+    rows = spark.createDataFrame([(bytearray(8), bytearray(8)), bad], "key binary, value binary")
+    with pytest.raises(Exception, match="a record must have"):
+        rows.write.format("fixedkv").mode("append").save(str(tmp_path / "kv"))
+    assert not os.path.exists(tmp_path / "kv") or not [f for f in os.listdir(tmp_path / "kv") if f.startswith("part")]
+
+
+@pytest.mark.parametrize(
+    ("rows", "expected"),
+    [([], 0), ([(1, 5)], 0), ([(1, 5), (3, 4), (7, 2)], 2), ([(1, 5), (3, None), (7, 2)], 0), ([(i * i, i) for i in range(200)], 0), ([(i * i, -i) for i in range(200)], 199), ([(None, 9), (1, 1), (2, 0)], 1)],
+)
+def test_inversions_with_gaps(spark, rows, expected):
+    df = spark.createDataFrame(rows, "p long, k long").repartition(3)
+    assert verify.inversions(df, F.col("k"), "p").first()["inversions"] == expected
+
+
+def test_inversions_of_groups(spark):
+    df = spark.createDataFrame([(g, i, (i if g else -i)) for g in range(3) for i in range(50)], "g int, p int, k int")
+    assert verify.inversions(df, F.col("k"), "p", "g").first()["inversions"] == 49
+    assert not verify.parts_sorted(df, F.col("k"), "g", "p").first()[0]
+    assert verify.parts_sorted(df.where("g > 0"), F.col("k"), "g", "p").first()[0]
+
+
+def test_multiset_tells_values_apart(spark):
+    def digest(*rows):
+        return verify.multiset(spark.createDataFrame(rows, "a string, b string"), ["a", "b"]).first()
+
+    alike = [("x|y", "z"), ("x", "y|z"), (None, "~"), ("~", None), ("", "~"), ("n", "~"), (None, None), ("", "")]
+    assert len({digest(r) for r in alike}) == len(alike)
+    assert digest(*alike) == digest(*alike[::-1])
+    assert digest(("a", "b"), ("a", "b")) != digest(("a", "b"))
+
+
+def test_key_steps(spark):
+    values = [0, -1, 5, 2**63 - 1, -(2**63)]
+    got = spark.createDataFrame([(v,) for v in values], "k long").select(keys.increment(F.col("k")), keys.decrement(F.col("k"))).collect()
+    wrap = lambda x: (x + 2**63) % 2**64 - 2**63
+    assert [tuple(r) for r in got] == [(wrap(v + 1), wrap(v - 1)) for v in values]
+
+
+def test_convert_to_parquet(spark, tmp_path):
+    data = pairs(50) + [(k, b"%08d" % i) for i, k in enumerate(EXTREME)]
+    (tmp_path / "in.dat").write_bytes(b"".join(k + v for k, v in data))
+    for order, form in (("O4", "<Q"), ("O5", ">Q")):
+        out = str(tmp_path / order)
+        convert.to_parquet(spark, str(tmp_path / "in.dat"), out, order=order, single=True)
+        assert len([f for f in os.listdir(out) if f.startswith("part")]) == 1
+        got = spark.read.parquet(out).select("record.*").collect()
+        assert sorted((int(r.key), bytes(r.value)) for r in got) == sorted((struct.unpack(form, k)[0], v) for k, v in data)
+    with pytest.raises(ValueError):
+        records.unsigned_records(frame(spark, data), "O1")
+
+
+def test_shared_folder(spark):
+    class Fake:
+        conf = {}
+
+        class sparkContext:
+            master = "local-cluster[3,2,1000]"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        storage.shared_dir(Fake)
+    with storage.recorded() as paths:
+        kept = storage.keep(spark.range(5), "five")
+    assert kept.count() == 5 and len(paths) == 1
+    folder = paths[0].removeprefix("file://")
+    assert os.path.isdir(folder)
+    storage.release(spark, paths)
+    assert not os.path.exists(folder)
