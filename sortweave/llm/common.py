@@ -1,52 +1,23 @@
-"""What the operators share: tables in the shared folder, global running totals, and small helpers."""
+"""What the operators share: global running totals and small helpers, beside the tables of sortweave.storage."""
 
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: What counts as white space between words, in all contracts: ASCII blank, tab, LF, VT, FF, CR.
-WORD = r"[^\x20\x09-\x0D]+"
-
-_made: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one in /tmp where that is unset (as in tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return (found or "file:///tmp/checkpoints/sortweave").rstrip("/")
-
+from sortweave.storage import keep, new_path, recorded, release, shared_dir
 
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _made.append(path)
-    return path
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it again: cuts lineage, survives lost executors, and fixes
-    whatever a second evaluation might deal out otherwise (partition ids, ranges)."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Deletes the tables that operators have kept in this process; call it once their results are written."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(conf).delete(path, True)
+__all__ = ["WORD", "ascii_crc_bucket", "columns_free_of", "keep", "new_path", "numbered", "place_of", "plus", "recorded", "release", "running_total", "shared_dir", "utf8"]
 
+#: What counts as white space between words, in all contracts: ASCII blank, tab, LF, VT, FF, CR.
+WORD = r"[^\x20\x09-\x0D]+"
 
 def columns_free_of(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
     """Only the wanted columns, whatever others there are: one of just that name, or else the first that differs in case only."""

@@ -81,12 +81,12 @@ def due(demand: Column, tilt: Column) -> Column:
 
 
 def occurrences(planned: DataFrame, tilts: Sequence[float] = TILTS) -> DataFrame:
-    """(row_id, turn, words, position): each time a document is taken, and its place in training from 0 to 1."""
+    """(row_id, turn, words, size, position): each time a document is taken, and its place in training from 0 to 1."""
     turns = F.sequence(F.lit(0).cast("bigint"), F.col("passes"))
     rows = planned.where("taken > 0").withColumn("turn", F.explode(turns)).withColumn("words", F.when(F.col("turn") < F.col("passes"), F.col("size")).otherwise(F.col("part"))).where("words > 0")
     tilt = F.element_at(F.array(*map(F.lit, tilts)), (F.col("place") % len(tilts) + 1).cast("int"))
     middle = (F.col("turn") * F.col("source_size") + F.col("at") + F.col("words") / 2) / F.col("target")
-    return rows.select("row_id", "turn", "words", due(middle, tilt).alias("position"))
+    return rows.select("row_id", "turn", "words", "size", due(middle, tilt).alias("position"))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, most: float = MOST, tilts: Sequence[float] = TILTS) -> DataFrame:
@@ -97,27 +97,41 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUD
     whole, names = numbered(docs, "mix-docs")
     wanted = whole.select("_row", *(place_of(names, c).alias(c) for c in ("doc_id", "text", "source")))
     turns = occurrences(plan(wanted, weights, budget, most, row="_row"), tilts)
-    taken = whole.join(turns.withColumnsRenamed({"row_id": "_row", "turn": "_turn", "words": "_words", "position": "_position"}).hint("shuffle_hash"), "_row")
+    renamed = turns.withColumnsRenamed({"row_id": "_row", "turn": "_turn", "words": "_words", "size": "_size", "position": "_position"})
+    taken = whole.join(renamed.hint("shuffle_hash"), "_row")
     ordered = taken.repartitionByRange("_position", "_row", "_turn").sortWithinPartitions("_position", "_row", "_turn")
     # the words of a cut document, found by the end of its last one; all other texts stay as they are
     text = place_of(names, "text")
     stretches = F.regexp_extract_all(text, F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    cut = F.when(F.col("_words") < word_count(text), F.array_join(F.slice(stretches, 1, F.col("_words").cast("int")), "")).otherwise(text)
+    cut = F.when(F.col("_words") < F.col("_size"), F.array_join(F.slice(stretches, 1, F.col("_words").cast("int")), "")).otherwise(text)
     at = names.index("text") if "text" in names else [n.lower() for n in names].index("text")
     return ordered.withColumn(f"c{at}", cut).select(*(f"c{i}" for i in range(len(names)))).toDF(*names)
 
 
 def order(planned: DataFrame, tilts: Sequence[float] = TILTS) -> DataFrame:
-    """(row_id, turn, words, position) of all occurrences in training order, by ranges of the position: a kept table."""
+    """(row_id, turn, words, size, position) of all occurrences in training order, by ranges of the position: a kept table."""
     by = ("position", "row_id", "turn")
     return keep(occurrences(planned, tilts).repartitionByRange(*by).sortWithinPartitions(*by), "mix-order")
 
 
+def curriculum(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, most: float = MOST, tilts: Sequence[float] = TILTS) -> DataFrame:
+    """What the training order has of each row of (doc_id, text, source): doc_id, size, source_size, target, taken, turns, first_position, last_position.
+
+    The order is dealt first: each occurrence gets its position by inverting its source's integrated schedule, and the occurrences are range-sorted.
+    ``taken`` adds up the words of a document's occurrences, ``turns`` counts them, and the positions are those of the first and the last, null for
+    a document that has none. Nulls, ties, repeated rows and empty tables: as in ``plan``.
+    """
+    planned = keep(plan(docs, weights, budget, most), "mix-plan")
+    found = order(planned, tilts).groupBy("row_id").agg(
+        F.sum("words").alias("dealt"), F.count(F.lit(1)).alias("seen"), F.min("position").alias("first_position"), F.max("position").alias("last_position")
+    )
+    taken, turns = (F.coalesce(c, F.lit(0)).cast("bigint").alias(n) for c, n in (("dealt", "taken"), ("seen", "turns")))
+    return planned.join(found, "row_id", "left").select("doc_id", "size", "source_size", "target", taken, turns, "first_position", "last_position")
+
+
 def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the training order takes of each document: words of its occurrences, each dealt its position by inverse demand."""
-    planned = keep(plan(spark.read.parquet(f"{sf_dir}/documents.parquet")), "mix-plan")
-    dealt = order(planned).groupBy("row_id").agg(F.sum("words").alias("dealt"))
-    return planned.join(dealt, "row_id", "left").select("doc_id", "size", "source_size", "target", F.coalesce("dealt", F.lit(0)).cast("bigint").alias("taken"))
+    """All documents in the training order: words and positions of their occurrences."""
+    return curriculum(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 OP9_SQL = r"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
@@ -128,5 +142,11 @@ f AS (SELECT *, cap / weight AS full_at FROM w),
 l AS (SELECT *, (1.5::DOUBLE * (sum(source_size) OVER ()) - coalesce(sum(cap) OVER (ORDER BY full_at, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE)) / (sum(weight) OVER (ORDER BY full_at, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS level FROM f),
 t AS (SELECT *, least(cap, coalesce((SELECT level FROM l WHERE level <= full_at ORDER BY full_at, place LIMIT 1), 0.0::DOUBLE) * weight) AS target FROM l),
 g AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS wanted, CASE WHEN source_size > 0 THEN CAST(floor(target + 0.5) AS BIGINT) // source_size ELSE 0 END AS passes FROM t),
-c AS (SELECT d.doc_id, d.size, g.source_size, g.target, g.passes, g.wanted, sum(d.size) OVER (PARTITION BY g.place ORDER BY md5(coalesce(d.doc_id::VARCHAR, '')), d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS along FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target, (passes * size + greatest(0, least(size, wanted - passes * source_size - along)))::BIGINT AS taken FROM c"""
+c AS (SELECT d.doc_id, d.size, g.place, g.source_size, g.target, g.passes, g.wanted, sum(d.size) OVER (PARTITION BY g.place ORDER BY md5(coalesce(d.doc_id::VARCHAR, '')), d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS along FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+o AS (SELECT *, greatest(0, least(size, wanted - passes * source_size - along))::BIGINT AS part FROM c),
+t0 AS (SELECT *, unnest(range(passes + 1)) AS turn FROM o),
+t1 AS (SELECT *, CASE WHEN turn < passes THEN size ELSE part END AS words, CASE place % 2 WHEN 0 THEN 0.5::DOUBLE ELSE -0.5::DOUBLE END AS tilt FROM t0),
+t2 AS (SELECT doc_id, words, tilt, ((turn * source_size + along)::DOUBLE + words::DOUBLE / 2) / target AS demand FROM t1 WHERE words > 0),
+t3 AS (SELECT doc_id, words, 2 * demand / ((1 + tilt) + sqrt(greatest(0.0::DOUBLE, (1 + tilt) * (1 + tilt) - 4 * tilt * demand))) AS position FROM t2),
+x AS (SELECT doc_id, sum(words)::BIGINT AS taken, count(*) AS turns, min(position) AS first_position, max(position) AS last_position FROM t3 GROUP BY doc_id)
+SELECT o.doc_id, o.size, o.source_size, o.target, coalesce(x.taken, 0)::BIGINT AS taken, coalesce(x.turns, 0)::BIGINT AS turns, x.first_position, x.last_position FROM o LEFT JOIN x ON o.doc_id = x.doc_id"""

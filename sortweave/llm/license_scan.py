@@ -3,14 +3,19 @@
 A text is brought to a canonical form (case, copyright lines, punctuation and spacing, equivalent spellings)
 and its SHA-256 is looked up, by a hash join, among the digests of known licences and licence notices. Units are
 the entire text, and each entire line of it, as notices often stand on a line of their own. All built-in functions.
+
+Known are the notices and short licences below, the full texts in the folder ``licenses`` (file names are their SPDX ids), the same
+under their usual titles, and the SPDX line of each; or whatever table the caller gives.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sortweave.llm.common import columns_free_of
+from sortweave.llm.common import columns_free_of, keep
 
 # Spellings that count as equal, as stems in canonical form (lower case, single blanks).
 SPELLINGS = [
@@ -22,7 +27,7 @@ SPELLINGS = [
 # Known licences and notices.
 _DISCLAIMER = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
 _BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"
-LICENSES = [
+_SHORT = [
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -42,53 +47,119 @@ LICENSES = [
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
 ]
 
+# Titles that stand over a licence's text.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License", "BSD-2-Clause", "Simplified BSD License", 'BSD 2-Clause "Simplified" License'],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License", "BSD-3-Clause", "New BSD License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License'],
+    "Zlib": ["zlib License", "The zlib License", "The zlib/libpng License"],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+}
+_END = "END OF TERMS AND CONDITIONS"
+
+
+def full_texts(folder: str | Path | None = None) -> list[tuple[str, str]]:
+    """(license, text) of each text file in a folder that the driver reads; the name without .txt is the licence. A text
+    that goes on after its terms end, as with how to apply them, also counts up to there."""
+    found = []
+    for path in sorted(Path(folder or Path(__file__).parent / "licenses").glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        found.append((path.stem, text))
+        if _END in text and text.split(_END, 1)[1].strip():
+            terms = text.split(_END, 1)[0]
+            found += [(path.stem, terms + _END), (path.stem, terms)]
+    return found
+
+
+def _all() -> list[tuple[str, str]]:
+    texts = _SHORT + full_texts()
+    bodies = [(name, text) for name, text in texts if name in TITLES and len(text) > 400]
+    titled = [(name, f"{title}\n{text}") for name, text in bodies for title in TITLES[name]]
+    lines = [(name, f"SPDX-License-Identifier: {name}") for name in sorted({n for n, _ in texts})]
+    return list(dict.fromkeys(texts + titled + lines))
+
+
+LICENSES = _all()
+#: A list of known texts up to this length goes to all tasks; a longer one is joined.
+SENT = 5000
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A line that names a holder: a copyright word or sign, then a sign, a year or a placeholder.
-_COPYRIGHT = r"(?m)^[ \x09*#/;-]*(?:copyright[ \x09]+(?:\(c\)|©|[0-9<\[])|©|\(c\)[ \x09])[^\x0A]*"
+#: A line that names a holder: a copyright word or sign, then a sign, a year or a placeholder; or one that reserves all rights.
+_HOLDER = r"^[ \x09*#/;-]*(?:copyright[ \x09]+(?:\(c\)|©|[0-9<\[])|©|\(c\)[ \x09]|all rights reserved)[^\x0A]*"
+_COPYRIGHT = "(?m)" + _HOLDER
 _APART = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
+def _spelled(x: Column, spellings: list[tuple[str, str]] = SPELLINGS) -> Column:
+    for a, b in spellings:
+        x = F.replace(x, F.lit(a), F.lit(b))
+    return x
+
+
 def canonical(text: Column) -> Column:
     """Lower case (A-Z), no copyright lines, words apart by single blanks, one spelling. Null becomes the empty text."""
     x = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
     x = F.regexp_replace(x, _COPYRIGHT, "")
-    x = F.trim(F.regexp_replace(x, _APART, " "))
-    for a, b in SPELLINGS:
-        x = F.replace(x, F.lit(a), F.lit(b))
-    return x
+    return _spelled(F.trim(F.regexp_replace(x, _APART, " ")))
+
+
+def _line(x: Column) -> Column:
+    """The canonical form of one line without a line feed."""
+    x = F.translate(x, _UPPER, _LOWER)
+    named = x.contains("copyright") | x.contains("©") | x.contains("(c)") | x.contains("all rights")
+    return _spelled(F.trim(F.regexp_replace(F.when(named, F.regexp_replace(x, _HOLDER, "")).otherwise(x), _APART, " ")))
+
+
+def _joined(lines: Column) -> Column:
+    """The canonical form of the text that has these canonical lines: only spellings of several words can span two."""
+    return _spelled(F.array_join(F.filter(lines, lambda x: x != ""), " "), [(a, b) for a, b in SPELLINGS if " " in a])
 
 
 def digest(text: Column) -> Column:
     return F.sha2(canonical(text).cast("binary"), 256)
 
 
-def known(spark: SparkSession, licenses: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(license, digest), one row for each digest."""
-    rows = spark.createDataFrame(LICENSES if licenses is None else licenses, "license string, text string")
-    return rows.select("license", digest(F.col("text")).alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
+def _sha(x: Column) -> Column:
+    return F.sha2(x.cast("binary"), 256)
+
+
+def known(spark: SparkSession, licenses: list[tuple[str, str]] | DataFrame | None = None) -> DataFrame:
+    """(digest, license, size), one row for each digest; size is that of the canonical text, in bytes. ``licenses``: rows of (license, text)."""
+    rows = licenses if isinstance(licenses, DataFrame) else spark.createDataFrame(LICENSES if licenses is None else licenses, "license string, text string")
+    forms = rows.where("text is not null").select("license", canonical(F.col("text")).alias("form")).where("form <> ''")
+    return forms.groupBy(_sha(F.col("form")).alias("digest")).agg(F.min("license").alias("license"), F.min(F.octet_length("form")).alias("size"))
 
 
-def scan(docs: DataFrame, licenses: list[tuple[str, str]] | None = None) -> DataFrame:
+def scan(docs: DataFrame, licenses: list[tuple[str, str]] | DataFrame | None = None, sent: int = SENT) -> DataFrame:
     """(doc_id, text_digest, license, line_licenses) for each row of (doc_id, text).
 
     license: of the entire text, else null. line_licenses: those of entire lines, distinct, in order, comma-separated, empty if none. Null and
     blank texts match nothing; repeated rows are judged each; an empty table gives none; further columns are left out.
 
-    Each unit is a digest before anything moves. The known licences are a list of this module or of the caller, whose length is
-    checked by Spark's broadcast limit; only entire-text digests and hits are grouped, by row, so no group grows with the corpus.
+    Each line is brought to its canonical form once, and the text's form is made of those. Up to ``sent`` known texts, counted first, go to all tasks:
+    nothing is shuffled, and only lines as long as a known text are digested. A longer list is joined instead, by digests of
+    entire texts and of lines; only a row's own hits are grouped, so no group grows with the corpus.
     """
     spark = docs.sparkSession
-    rows = columns_free_of(docs, ["doc_id", "text"]).select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.struct(F.lit(False).alias("whole"), digest(x).alias("digest")))
-    units = F.concat(F.array(F.struct(F.lit(True).alias("whole"), digest(F.col("text")).alias("digest"))), lines)
-    exploded = rows.select("row_id", "doc_id", F.explode(units).alias("u")).select("row_id", "doc_id", "u.whole", F.col("u.digest").alias("digest"))
-    hits = exploded.join(known(spark, licenses), "digest", "left").where(F.col("whole") | F.col("license").isNotNull())
-    found = hits.groupBy("row_id", "doc_id").agg(
-        F.max(F.when(F.col("whole"), F.col("digest"))).alias("text_digest"),
-        F.max(F.when(F.col("whole"), F.col("license"))).alias("license"),
-        F.array_join(F.array_sort(F.collect_set(F.when(~F.col("whole"), F.col("license")))), ",").alias("line_licenses"),
-    )
-    return found.drop("row_id")
+    table = keep(known(spark, licenses), "licenses")
+    rows = columns_free_of(docs, ["doc_id", "text"]).select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("bigint").alias("doc_id"), F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), _line).alias("lines"))
+    names = table.select("digest", "license")
+    if table.count() > sent:
+        rows = keep(rows.select("row_id", "doc_id", _sha(_joined(F.col("lines"))).alias("text_digest"), F.transform(F.filter("lines", lambda x: x != ""), _sha).alias("lines")), "license-digests")
+        single = rows.select("row_id", F.explode(F.array_distinct("lines")).alias("digest")).join(names, "digest")
+        hits = single.groupBy("row_id").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("found"))  # a row's own
+        whole = rows.select("row_id", "doc_id", "text_digest").join(names, F.col("text_digest") == F.col("digest"), "left").join(hits, "row_id", "left")
+        return whole.select("doc_id", "text_digest", "license", F.coalesce("found", F.lit("")).alias("line_licenses"))
+    entries = table.collect()
+    line_licenses = F.lit("")
+    if entries:
+        sizes, digests = sorted({r["size"] for r in entries}), [r["digest"] for r in entries]
+        of = F.create_map(*(F.lit(x) for r in entries for x in (r["digest"], r["license"])))
+        as_long = F.transform(F.filter("lines", lambda x: F.octet_length(x).isin(sizes)), _sha)
+        line_licenses = F.array_join(F.array_sort(F.array_distinct(F.transform(F.filter(as_long, lambda x: x.isin(digests)), lambda x: of[x]))), ",")
+    looked = rows.select("doc_id", _sha(_joined(F.col("lines"))).alias("text_digest"), line_licenses.alias("line_licenses"))
+    return looked.join(F.broadcast(names), F.col("text_digest") == F.col("digest"), "left").select("doc_id", "text_digest", "license", "line_licenses")
 
 
 def op3_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +178,7 @@ def _canonical_sql(x: str) -> str:
 def sql() -> str:
     values = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in LICENSES)
     digest_of = lambda x: f"sha256({_canonical_sql(x)})"
-    return f"""WITH k AS (SELECT {digest_of('text')} AS digest, min(license) AS license FROM (VALUES {values}) AS v(license, text) GROUP BY 1),
+    return f"""WITH k AS (SELECT {digest_of('text')} AS digest, min(license) AS license FROM (VALUES {values}) AS v(license, text) WHERE {_canonical_sql('text')} <> '' GROUP BY 1),
 w AS (SELECT doc_id, {digest_of('text')} AS text_digest FROM documents),
 l AS (SELECT doc_id, {digest_of('line')} AS digest FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)),
 h AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS line_licenses FROM l JOIN k USING (digest) GROUP BY doc_id)
