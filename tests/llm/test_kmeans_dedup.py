@@ -65,3 +65,29 @@ def test_no_pair_is_lost_between_cells():
     sent = set(zip(row.tolist(), cell.tolist(), strict=True))
     assert near.sum() > 100
     assert all((i, home[i]) in sent for i in np.flatnonzero(near))
+
+
+def test_components_of_any_finite_size(spark):
+    """Doubles whose squares overflow or vanish are scaled; the result is that of ordinary ones."""
+    rows = [(i, [x * scale for x in v], 1) for i, (scale, v) in enumerate([(1e300, [1.0, 2.0]), (1e-300, [1.0, 2.0]), (1.0, [1.0, 2.01]), (5e-324, [0.0, 1.0]), (1e308, [0.0, -1.0]), (1.0, [0.0, 3.0])])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicates(df).collect()}
+    assert got == {0: (2, 0), 1: (2, 0), 2: (2, 0), 3: (1, 3), 4: (0, 4), 5: (1, 3)}
+
+
+def test_single_precision_decides_nothing_at_the_threshold():
+    rng = np.random.default_rng(5)
+    x = unit(rng.standard_normal((300, 16)))
+    side = rng.standard_normal(x.shape)
+    side = unit(side - (side * x).sum(axis=1, keepdims=True) * x)
+    angle = np.arccos(0.98) + rng.choice([-1e-9, 1e-9, 1e-7, -1e-7, 1e-4, -1e-4], 300)
+    y = x * np.cos(angle)[:, None] + side * np.sin(angle)[:, None]
+    got = {(i, j) for a, b in kmeans_dedup.linked(x, y, 0.98, False) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+    assert got == {(i, j) for i, j in zip(*np.nonzero(unit(x) @ unit(y).T >= 0.98), strict=True)}
+    both = np.concatenate([x, y])
+    once = [(i, j) for a, b in kmeans_dedup.linked(both, both, 0.98, True) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    assert len(set(once)) == len(once) and all(i < j for i, j in once) and {(i, j - 300) for i, j in once if i < 300 <= j} == got
+
+
+def test_cells_grow_with_the_rows():
+    assert [kmeans_dedup.cell_count(n, 100) for n in (0, 100, 101, 10_000, 10**6, 10**10)] == [1, 1, 2, 100, 1000, 10**5]
