@@ -24,6 +24,10 @@ SPELLINGS = [
     ("sub licens", "sublicens"), ("non commercial", "noncommercial"), ("non infring", "noninfring"), ("per cent", "percent"), ("copyright owner", "copyright holder"), ("http ", "https "),
 ]
 
+#: So many characters at the beginning of a text are the same in all spellings.
+_STEADY = 3
+assert all(a[:_STEADY] == b[:_STEADY] for a, b in SPELLINGS)
+
 # Known licences and notices.
 _DISCLAIMER = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
 _BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"
@@ -91,8 +95,8 @@ _COPYRIGHT = "(?m)" + _HOLDER
 _APART = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def _spelled(x: Column, spellings: list[tuple[str, str]] = SPELLINGS) -> Column:
-    for a, b in spellings:
+def _spelled(x: Column) -> Column:
+    for a, b in SPELLINGS:
         x = F.replace(x, F.lit(a), F.lit(b))
     return x
 
@@ -104,16 +108,17 @@ def canonical(text: Column) -> Column:
     return _spelled(F.trim(F.regexp_replace(x, _APART, " ")))
 
 
-def _line(x: Column) -> Column:
-    """The canonical form of one line without a line feed."""
-    x = F.translate(x, _UPPER, _LOWER)
+def _plain(x: Column) -> Column:
+    """The canonical form of one line without a line feed, in its own spelling."""
+    ascii_only = F.octet_length(x) == F.char_length(x)
+    x = F.when(ascii_only, F.lower(x)).otherwise(F.translate(x, _UPPER, _LOWER))
     named = x.contains("copyright") | x.contains("©") | x.contains("(c)") | x.contains("all rights")
-    return _spelled(F.trim(F.regexp_replace(F.when(named, F.regexp_replace(x, _HOLDER, "")).otherwise(x), _APART, " ")))
+    return F.trim(F.regexp_replace(F.when(named, F.regexp_replace(x, _HOLDER, "")).otherwise(x), _APART, " "))
 
 
 def _joined(lines: Column) -> Column:
-    """The canonical form of the text that has these canonical lines: only spellings of several words can span two."""
-    return _spelled(F.array_join(F.filter(lines, lambda x: x != ""), " "), [(a, b) for a, b in SPELLINGS if " " in a])
+    """The canonical form of the text that has these plain lines."""
+    return _spelled(F.array_join(F.filter(lines, lambda x: x != ""), " "))
 
 
 def digest(text: Column) -> Column:
@@ -125,10 +130,10 @@ def _sha(x: Column) -> Column:
 
 
 def known(spark: SparkSession, licenses: list[tuple[str, str]] | DataFrame | None = None) -> DataFrame:
-    """(digest, license, size), one row for each digest; size is that of the canonical text, in bytes. ``licenses``: rows of (license, text)."""
+    """(digest, license, size, begins), one row for each digest; size and begins are the canonical text's, in bytes and characters. ``licenses``: rows of (license, text)."""
     rows = licenses if isinstance(licenses, DataFrame) else spark.createDataFrame(LICENSES if licenses is None else licenses, "license string, text string")
     forms = rows.where("text is not null").select("license", canonical(F.col("text")).alias("form")).where("form <> ''")
-    return forms.groupBy(_sha(F.col("form")).alias("digest")).agg(F.min("license").alias("license"), F.min(F.octet_length("form")).alias("size"))
+    return forms.groupBy(_sha(F.col("form")).alias("digest")).agg(F.min("license").alias("license"), F.min(F.octet_length("form")).alias("size"), F.min(F.substring("form", 1, _STEADY)).alias("begins"))
 
 
 def scan(docs: DataFrame, licenses: list[tuple[str, str]] | DataFrame | None = None, sent: int = SENT) -> DataFrame:
@@ -137,16 +142,16 @@ def scan(docs: DataFrame, licenses: list[tuple[str, str]] | DataFrame | None = N
     license: of the entire text, else null. line_licenses: those of entire lines, distinct, in order, comma-separated, empty if none. Null and
     blank texts match nothing; repeated rows are judged each; an empty table gives none; further columns are left out.
 
-    Each line is brought to its canonical form once, and the text's form is made of those. Up to ``sent`` known texts, counted first, go to all tasks:
-    nothing is shuffled, and only lines as long as a known text are digested. A longer list is joined instead, by digests of
+    Each line is made plain once, and the text's form is made of those. Up to ``sent`` known texts, counted first, go to all tasks:
+    nothing is shuffled, and only lines that begin like a known text (no spelling changes that) and are as long as one are digested. A longer list is joined instead, by digests of
     entire texts and of lines; only a row's own hits are grouped, so no group grows with the corpus.
     """
     spark = docs.sparkSession
     table = keep(known(spark, licenses), "licenses")
-    rows = columns_free_of(docs, ["doc_id", "text"]).select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("bigint").alias("doc_id"), F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), _line).alias("lines"))
+    rows = columns_free_of(docs, ["doc_id", "text"]).select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("bigint").alias("doc_id"), F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), _plain).alias("lines"))
     names = table.select("digest", "license")
     if table.count() > sent:
-        rows = keep(rows.select("row_id", "doc_id", _sha(_joined(F.col("lines"))).alias("text_digest"), F.transform(F.filter("lines", lambda x: x != ""), _sha).alias("lines")), "license-digests")
+        rows = keep(rows.select("row_id", "doc_id", _sha(_joined(F.col("lines"))).alias("text_digest"), F.transform(F.filter("lines", lambda x: x != ""), lambda x: _sha(_spelled(x))).alias("lines")), "license-digests")
         single = rows.select("row_id", F.explode(F.array_distinct("lines")).alias("digest")).join(names, "digest")
         hits = single.groupBy("row_id").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("found"))  # a row's own
         whole = rows.select("row_id", "doc_id", "text_digest").join(names, F.col("text_digest") == F.col("digest"), "left").join(hits, "row_id", "left")
@@ -154,9 +159,10 @@ def scan(docs: DataFrame, licenses: list[tuple[str, str]] | DataFrame | None = N
     entries = table.collect()
     line_licenses = F.lit("")
     if entries:
-        sizes, digests = sorted({r["size"] for r in entries}), [r["digest"] for r in entries]
+        sizes, begins, digests = sorted({r["size"] for r in entries}), sorted({r["begins"] for r in entries}), [r["digest"] for r in entries]
         of = F.create_map(*(F.lit(x) for r in entries for x in (r["digest"], r["license"])))
-        as_long = F.transform(F.filter("lines", lambda x: F.octet_length(x).isin(sizes)), _sha)
+        begun = F.transform(F.filter("lines", lambda x: F.substring(x, 1, _STEADY).isin(begins)), _spelled)
+        as_long = F.transform(F.filter(begun, lambda x: F.octet_length(x).isin(sizes)), _sha)
         line_licenses = F.array_join(F.array_sort(F.array_distinct(F.transform(F.filter(as_long, lambda x: x.isin(digests)), lambda x: of[x]))), ",")
     looked = rows.select("doc_id", _sha(_joined(F.col("lines"))).alias("text_digest"), line_licenses.alias("line_licenses"))
     return looked.join(F.broadcast(names), F.col("text_digest") == F.col("digest"), "left").select("doc_id", "text_digest", "license", "line_licenses")
