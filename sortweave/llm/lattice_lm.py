@@ -2,8 +2,8 @@
 
 The pieces of a public subword vocabulary span a lattice over each word (with the blank before it), and so does
 the word itself, as one edge, if training texts have it. Forward recursion in log space sums over all paths.
-The vocabulary's own scores, taken as ranks, weight the first lattice; the expected counts of pieces over the distinct training words, each once
-whatever block or how many copies it stands in, give the probabilities that score.
+A vocabulary with log-probabilities weights the lattice as it is. One whose scores are ranks weights a first lattice by them; expected counts
+of pieces over the distinct training words, each once whatever block or how many copies it stands in, give the weights of the next, for ROUNDS rounds.
 
 With c occurrences of a word, N training tokens and V distinct ones, its probability is (c + (V + 1/2) * L) / (N + V + 1), L
 being the product sum over its pieces: pieces that begin a word are one distribution, all others and the stop
@@ -17,15 +17,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sortweave.llm.common import ascii_crc_bucket, columns_free_of, keep, utf8
 
 #: Bytes of text that are treated together.
-BLOCK = 8 << 20
+BLOCK = 16 << 20
+#: Rounds of expected counts, where a vocabulary has ranks.
+ROUNDS = 2
 #: Added to the expected count of every piece, and to a rank that is taken as a Zipf weight.
 SMOOTH, RANK = 0.1, 10.0
 _BASE, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
@@ -34,7 +35,7 @@ _SPACE, _STOP = b" ", -2
 
 def vocabulary(path: str | None = None) -> list[tuple[bytes, float]]:
     """(piece, score) of a sentencepiece model file, pieces as bytes with a blank for the word mark; byte pieces are
-    single bytes. Control pieces, pieces with a capital A-Z and pieces with a word mark inside match no text and are left out."""
+    single bytes. Scores are log-probabilities, or ranks below 0. Control pieces, pieces with a capital A-Z and pieces with a word mark inside match no text and are left out."""
     import sentencepiece
 
     if path is None:
@@ -43,6 +44,8 @@ def vocabulary(path: str | None = None) -> list[tuple[bytes, float]]:
         path = public_tokenizers.path("piece_bpe_32k.model")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     best: dict[bytes, float] = {}
+    scores = [model.get_score(i) for i in range(model.vocab_size())]
+    least = -float(model.vocab_size()) if by_rank(scores) else min(scores) - 10.0
     for i in range(model.vocab_size()):
         if model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
             continue
@@ -50,13 +53,17 @@ def vocabulary(path: str | None = None) -> list[tuple[bytes, float]]:
         piece = bytes([int(text[3:5], 16)]) if model.is_byte(i) else text.replace("▁", " ").encode()
         if piece != piece.lower() or _SPACE in piece[1:]:
             continue
-        rank = -model.get_score(i) if not model.is_byte(i) else model.vocab_size()
-        best[piece] = max(best.get(piece, -np.inf), -rank)
+        best[piece] = max(best.get(piece, -np.inf), least if model.is_byte(i) else scores[i])
     for b in range(256):
-        best.setdefault(bytes([b]), -float(model.vocab_size()))
+        best.setdefault(bytes([b]), least)
     return sorted(best.items())
 
 
+def by_rank(scores: list[float]) -> bool:
+    """Whether scores are ranks, as a vocabulary of merges has: whole numbers."""
+    return all(float(x).is_integer() for x in scores)
+
+
 def normalise(pieces: list[bytes], log_weight: np.ndarray, stop: float) -> tuple[np.ndarray, float]:
     """Log-probabilities: of pieces that begin a word, and of all others with the stop."""
     begins = np.array([p[:1] == _SPACE for p in pieces])
@@ -258,60 +265,48 @@ def split(text: str | None) -> list[bytes]:
     return utf8(text).lower().split()
 
 
-def _blocks(size: int):
-    """Rows of about ``size`` bytes of text each: (block, doc_ids, held_out, texts)."""
+_TOKENS = "block bigint, doc_ids array<bigint>, held_out array<boolean>, sizes array<int>, numbers array<int>, at int, n int, word binary"
+_TOKEN_TYPES = {"block": pa.int64(), "doc_ids": pa.list_(pa.int64()), "held_out": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int32()), "numbers": pa.list_(pa.int32()), "at": pa.int32(), "n": pa.int32(), "word": pa.binary()}
+
+
+def _rows(count: int, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(count, t) for k, t in _TOKEN_TYPES.items()], list(_TOKEN_TYPES))
+
 
-    def row(number, ids, held, texts):
-        arrays = [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([texts], pa.list_(pa.string()))]
-        return pa.RecordBatch.from_arrays(arrays, ["block", "doc_ids", "held_out", "texts"])
+def _tokens(size: int):
+    """Blocks of about ``size`` bytes of text: a row with the number of each token's word in the block, and a row (at, n, word) for each distinct word, n times in training texts."""
+
+    def block(number, ids, held, known, numbers, sizes):
+        flat, each = np.concatenate(numbers), np.array(sizes, np.int64)
+        n = np.bincount(flat[np.repeat(~np.array(held, bool), each)], minlength=len(known))
+        yield _rows(1, block=[number], doc_ids=[ids], held_out=[held], sizes=[sizes], numbers=[flat])
+        words = list(known)
+        for at in range(0, len(words), 50_000):
+            some = words[at : at + 50_000]
+            yield _rows(len(some), block=np.full(len(some), number), at=np.arange(at, at + len(some)), n=n[at : at + 50_000], word=some)
 
     def run(batches):
-        number, ids, held, texts, n = TaskContext.get().partitionId() << 30, [], [], [], 0
+        number = TaskContext.get().partitionId() << 30
+        ids, held, known, numbers, sizes, n = [], [], {}, [], [], 0
         for b in batches:
-            for doc_id, out, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for doc_id, out, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                words = split(text.as_py())
+                for w in words:
+                    known.setdefault(w, len(known))
+                numbers.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
                 ids.append(doc_id)
                 held.append(out)
-                texts.append(text or "")
-                n += len(texts[-1]) + 64
+                sizes.append(len(words))
+                n += (text.as_buffer().size if text.is_valid else 0) + 64
                 if n >= size:
-                    yield row(number, ids, held, texts)
-                    number, ids, held, texts, n = number + 1, [], [], [], 0
+                    yield from block(number, ids, held, known, numbers, sizes)
+                    number, ids, held, known, numbers, sizes, n = number + 1, [], [], {}, [], [], 0
         if ids:
-            yield row(number, ids, held, texts)
+            yield from block(number, ids, held, known, numbers, sizes)
 
     return run
 
 
-def _dictionary(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Distinct words; the word number of each token; the tokens of each text."""
-    known: dict[bytes, int] = {}
-    number, sizes = [], []
-    for t in texts:
-        words = split(t)
-        for w in words:
-            known.setdefault(w, len(known))
-        number.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
-        sizes.append(len(words))
-    return list(known), (np.concatenate(number) if number else np.zeros(0, np.int32)), np.array(sizes, np.int64)
-
-
-def _keys(words: list[bytes]) -> np.ndarray:
-    """128-bit word keys as two BIGINT columns."""
-    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.int64).reshape(-1, 2)
-
-
-def _gather(batches):
-    """Of each block: a row (block, k1, k2, n, word) for each distinct word, n times in training texts."""
-    for b in batches:
-        for block, held, texts in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
-            words, number, sizes = _dictionary(texts.as_py())
-            n = np.bincount(number[np.repeat(~np.array(held, bool), sizes)], minlength=len(words))
-            keys = _keys(words)
-            for at in range(0, len(words), 50_000):
-                k, m = keys[at : at + 50_000], n[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block)), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(m.astype(np.int32)), pa.array(words[at : at + 50_000], pa.binary())], ["block", "k1", "k2", "n", "word"])
-
-
 def _learn(sent):
     """(piece, uses): expected counts of pieces, and of stops, over words that count once each."""
 
@@ -327,84 +322,90 @@ def _learn(sent):
     return run
 
 
-def _score(sent):
+def _marginals(sent):
+    """(word, c, m): log10 of what a word has of the N + V + 1, its count and its share by the lattice together."""
+
     def run(batches):
-        trie, log_p, log_stop, total, distinct, end_count = sent.value
-        scale = np.log10(total + distinct + 1)
+        trie, log_p, log_stop, distinct = sent.value
         for b in batches:
-            columns = [b.column(i).to_pylist() for i in (1, 2)]
-            for row, (ids, held) in enumerate(zip(*columns, strict=True)):
-                words, number, sizes = _dictionary(b.column(3)[row].as_py())
-                train = ~np.array(held, bool)
-                c = np.bincount(number[np.repeat(train, sizes)], minlength=len(words)).astype(np.int64)
-                told = b.column(4)[row].values
-                if told is not None and len(told):
-                    k1, k2, n = (told.field(i).to_numpy() for i in range(3))
-                    keys = _keys(words)
-                    here, there = np.lexsort((keys[:, 1], keys[:, 0])), np.lexsort((k2, k1))
-                    shared = np.isin(_pairs(keys[here]), _pairs(np.stack([k1, k2], axis=1)))
-                    c[here[shared]] = n[there]  # each told word is one of the block's
-                known = np.cumsum(np.concatenate([[0], (c > 0)[number]]))
-                base = np.cumsum(np.concatenate([[0.0], np.log10(c + 1.0)[number]]))
-                marginal = np.log10(c + (distinct + 0.5) * np.exp(log_probabilities(trie, log_p, words) + log_stop))
-                ends = np.concatenate([[0], np.cumsum(sizes)])
-                sums = np.cumsum(np.concatenate([[0.0], marginal[number]]))
-                lattice = sums[ends[1:]] - sums[ends[:-1]]
-                tokens = sizes + 1
-                base = base[ends[1:]] - base[ends[:-1]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(tokens), pa.array(known[ends[1:]] - known[ends[:-1]] + int(end_count > 0)), pa.array(np.full(len(ids), total, np.int64)),
-                     pa.array(base + np.log10(end_count + 1.0) - tokens * scale), pa.array(lattice + np.log10(end_count + 0.5) - tokens * scale)],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+            lattice = np.exp(log_probabilities(trie, log_p, b.column(0).to_pylist()) + log_stop)
+            c = b.column(1).to_numpy(zero_copy_only=False)
+            with np.errstate(divide="ignore"):
+                m = np.log10(c + (distinct + 0.5) * lattice)
+            if (flat := np.flatnonzero(~np.isfinite(m))).size:  # unknown words so long that their probability is no double: by its logarithm
+                own = [b.column(0)[int(i)].as_py() for i in flat]
+                m[flat] = (log_probabilities(trie, log_p, own) + log_stop + np.log(distinct + 0.5)) / np.log(10)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c), pa.array(m)], ["word", "c", "m"])
 
     return run
 
 
-def _pairs(keys: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(keys).view([("a", np.int64), ("b", np.int64)]).ravel()
+def _totals(total: int, distinct: int, ends: int):
+    scale = np.log10(total + distinct + 1)
+
+    def run(told: pa.Table, block: pa.Table) -> pa.Table:
+        """A block's documents, from what is told of its distinct words."""
+        row = {k: block[k][0].values for k in ("doc_ids", "held_out", "sizes", "numbers")}
+        number, sizes = row["numbers"].to_numpy(zero_copy_only=False), row["sizes"].to_numpy(zero_copy_only=False).astype(np.int64)
+        c, m = np.zeros(told.num_rows, np.int64), np.zeros(told.num_rows)
+        at = told["at"].to_numpy()
+        c[at], m[at] = told["c"].to_numpy(), told["m"].to_numpy()
+        first = np.concatenate([[0], np.cumsum(sizes)])
+
+        def sums(of):
+            along = np.concatenate([[0], np.cumsum(of[number])])
+            return along[first[1:]] - along[first[:-1]]
 
+        tokens = sizes + 1
+        return pa.table({
+            "doc_id": row["doc_ids"], "held_out": row["held_out"], "n_tokens": tokens, "n_known": sums(c > 0) + int(ends > 0), "train_tokens": np.full(len(tokens), total, np.int64),
+            "base_score": sums(np.log10(c + 1.0)) + np.log10(ends + 1.0) - tokens * scale, "score": sums(m) + np.log10(ends + 0.5) - tokens * scale,
+        })
 
-def score(docs: DataFrame, held: str = "held_out", pieces: list[tuple[bytes, float]] | None = None, block: int = BLOCK) -> DataFrame:
+    return run
+
+
+def score(docs: DataFrame, held: str = "held_out", pieces: list[tuple[bytes, float]] | None = None, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of (doc_id, text, ``held``).
 
-    Learns from the rows that aren't held out, all of them. Null and blank texts are the end token alone; null ids stay
+    ``pieces``: (piece, score); log-probabilities are kept as they are, ranks (whole numbers) are learnt from, ``rounds`` times. Learns from the rows that
+    aren't held out, all of them. Null and blank texts are the end token alone; null ids stay
     null; repeated rows count and are scored each; with nothing to learn from, counts are 0; an empty table gives none; further columns are left out.
 
-    Texts are kept in blocks of bounded size. Of each block only its distinct words leave, with keys and counts, and only
-    words that other blocks have too come back to it with their count over all, so a frequent word is one row a block.
-    Pieces' expected counts are a vocabulary's worth of numbers for each task, summed by Spark.
+    Texts are read once, to blocks of bounded size: numbers of tokens, and the block's distinct words. Counts of words are summed map-side
+    first. The lattice is run once for each distinct word of the corpus; the join that takes its result back to the blocks has a row a block for a
+    frequent word, which Spark's skew join can split. Pieces' expected counts are a vocabulary's worth of numbers for each task, summed by Spark.
     """
     spark = docs.sparkSession
     table = pieces or vocabulary()
-    trie = Trie.of([p for p, _ in table])
-    first = normalise([p for p, _ in table], -np.log(RANK - np.array([s for _, s in table])), 0.0)[0]
-    rows = columns_free_of(docs, ["doc_id", held, "text"]).select(F.col("doc_id").cast("bigint").alias("doc_id"), held, "text")
-    blocks = keep(rows.mapInArrow(_blocks(block), "block bigint, doc_ids array<bigint>, held_out array<boolean>, texts array<string>"), "lm-blocks")
-    gathered = blocks.mapInArrow(_gather, "block bigint, k1 bigint, k2 bigint, n int, word binary")
+    names, scores = [p for p, _ in table], np.array([s for _, s in table])
+    trie = Trie.of(names)
+    ranked = by_rank(scores.tolist())
+    log_p, log_stop = normalise(names, -np.log(RANK - scores) if ranked else scores, 0.0)
+    rows = columns_free_of(docs, ["doc_id", held, "text"]).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col(held), F.lit(False)).alias(held), "text")
+    tokens = keep(rows.mapInArrow(_tokens(block), _TOKENS), "lm-tokens")
+    blocks = tokens.where("doc_ids is not null").select("block", "doc_ids", "held_out", "sizes", "numbers")
+    each = tokens.where("word is not null").select("block", "at", "n", "word")
     documents = blocks.agg(F.coalesce(F.sum(F.size(F.filter("held_out", lambda x: ~x))), F.lit(0))).first()[0]
-
-    word = Window.partitionBy("k1", "k2")
-    seen = Observation("words")
-    counted = gathered.select("block", "k1", "k2", "word", F.sum("n").over(word).alias("c"), F.count(F.lit(1)).over(word).alias("blocks"), F.min("block").over(word).alias("home"))
-    counted = counted.observe(seen, F.coalesce(F.sum(F.when(F.col("block") == F.col("home"), F.col("c"))), F.lit(0)).alias("tokens"), F.count_if((F.col("block") == F.col("home")) & (F.col("c") > 0)).alias("distinct"))
-    counted = counted.withColumn("word", F.when((F.col("block") == F.col("home")) & (F.col("c") > 0), F.col("word")))  # of each training word one row has it
-    answers = keep(counted.where("blocks > 1 or word is not null").select("block", "k1", "k2", "c", "blocks", "word"), "lm-counts")
-    found = seen.get
-
-    learnt = answers.where("word is not null").select("word").mapInArrow(_learn(spark.sparkContext.broadcast((trie, first))), "piece bigint, uses double")
-    counts, stops = np.zeros(len(table)), 0.0
-    for r in learnt.groupBy("piece").agg(F.sum("uses").alias("uses")).collect():  # a row for each piece of the vocabulary
-        if r["piece"] == _STOP:
-            stops = r["uses"]
-        else:
-            counts[r["piece"]] = r["uses"]
-    log_p, log_stop = normalise([p for p, _ in table], np.log(counts + SMOOTH), float(np.log(stops + SMOOTH)))
-
-    told = answers.where("blocks > 1").select("block", "k1", "k2", "c").groupBy("block").agg(F.collect_list(F.struct("k1", "k2", "c")).alias("told"))  # a block's own words: bounded by its size
-    sent = spark.sparkContext.broadcast((trie, log_p, log_stop, found["tokens"] + documents, found["distinct"] + (documents > 0), documents))
-    joined = blocks.join(told, "block", "left").select("block", "doc_ids", "held_out", "texts", "told")
-    return joined.mapInArrow(_score(sent), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    words = keep(each.groupBy("word").agg(F.sum("n").alias("c")), "lm-words")
+    found = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count_if(F.col("c") > 0).alias("distinct")).first()
+
+    for _ in range(rounds if ranked else 0):
+        learnt = words.where("c > 0").select("word").mapInArrow(_learn(spark.sparkContext.broadcast((trie, log_p))), "piece bigint, uses double")
+        counts, stops = np.zeros(len(table)), 0.0
+        for r in learnt.groupBy("piece").agg(F.sum("uses").alias("uses")).collect():  # a row for each piece of the vocabulary
+            if r["piece"] == _STOP:
+                stops = r["uses"]
+            else:
+                counts[r["piece"]] = r["uses"]
+        log_p, log_stop = normalise(names, np.log(counts + SMOOTH), float(np.log(stops + SMOOTH)))
+
+    distinct = found["distinct"] + (documents > 0)
+    sent = spark.sparkContext.broadcast((trie, log_p, log_stop, distinct))
+    told = each.select("block", "at", "word").join(words.mapInArrow(_marginals(sent), "word binary, c bigint, m double"), "word").select("block", "at", "c", "m")
+    out = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    own = blocks.withColumnRenamed("block", "own")  # another name, as both sides come from one table
+    return told.groupBy("block").cogroup(own.groupBy("own")).applyInArrow(_totals(found["tokens"] + documents, distinct, documents), out)
 
 
 def op4_subword_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,3 +101,32 @@ def test_learning_helps_held_out_documents(spark, sf):
     some = L.score(docs.withColumn("held_out", L.ascii_crc_bucket(F.col("doc_id"), 7) == 2)).where("held_out").toPandas()
     none = L.score(docs.withColumn("held_out", F.lit(True))).where(L.ascii_crc_bucket(F.col("doc_id"), 7) == 2).toPandas()
     assert some.score.sum() > 0.6 * none.score.sum()
+
+
+def test_scores_against_brute_force(spark):
+    """A vocabulary with log-probabilities weights the lattice as it is: each score, by all segmentations of each word."""
+    rows = [(i, " ".join(["ab", "aba", "b", "abab"][: 1 + i % 4]), i % 5 == 0) for i in range(30)] + [(90, "bbaab ab AB", True), (91, None, True), (91, "ab", False), (91, "ab", False), (None, "aab", True), (92, "b" * 700, True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    table = [(p, math.log(w)) for p, w in PIECES.items()]
+    begin, rest = (sum(w for p, w in PIECES.items() if (p[:1] == b" ") == b) for b in (True, False))
+    proper = {p: w / (begin if p[:1] == b" " else rest + 1) for p, w in PIECES.items()}
+    stop = 1 / (rest + 1)
+    tokens = [[*(t or "").lower().encode().split(), None] for _, t, _ in rows]
+    c = Counter(w for ws, (_, _, held) in zip(tokens, rows, strict=True) if not held for w in ws)
+    n, v = sum(c.values()), len(c)
+
+    def of(w):
+        if w is not None and len(w) > 50:  # only one way, and too small for a number
+            return math.log10((v + 0.5) * stop * proper[b" "] / (n + v + 1)) + len(w) * math.log10(proper[b"b"])
+        share = 0.5 if w is None else (v + 0.5) * stop * brute_word(proper, w)
+        return math.log10((c[w] + share) / (n + v + 1))
+
+    for block in (10, 1 << 20):
+        got = sorted((str(r.doc_id), round(r.score, 6)) for r in L.score(docs, pieces=table, block=block).collect())
+        assert got == sorted((str(d), round(sum(map(of, ws)), 6)) for (d, _, _), ws in zip(rows, tokens, strict=True))
+
+
+def test_more_rounds_explain_training_words_better(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("held_out", L.ascii_crc_bucket(F.col("doc_id"), 7) == 2)
+    sums = [L.score(docs, rounds=r).where("held_out").agg(F.sum("score")).first()[0] for r in (0, 1, 2)]
+    assert sums == sorted(sums)
