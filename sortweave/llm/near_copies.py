@@ -1,10 +1,14 @@
-"""Near copies: documents whose sets of five-word shingles have a Jaccard similarity of at least 0.8, all of them.
+"""Near copies of documents: SimHash fingerprints by anchors, then the exact similarity of five-word shingle sets.
 
-The first words of a set, in any order that holds for all sets, must meet those of each set that is near to it: of n
-shingles the first n - ceil(0.8 n) + 1. So pairs that share none of these are never looked at, and none that is near is lost.
-Shingles that many documents have come last in the order, told from a sample; the sample decides the cost, not the result.
-Each document is compared with the first one of each of its shingles; then only those pairs are left that these links don't
-join already. So a large group of near copies costs a comparison a document.
+What is compared comes from two sides. Fingerprints (of five-word shingles) within the threshold, found by anchors of the covering code as in
+``simhash``; and, as near copies of a Jaccard similarity of 0.8 differ in more bits than anchors can cover, documents that share one of their rarest shingles. The
+first words of a set, in any order that holds for all sets, must meet those of each set that is near to it: of n
+shingles the first n - ceil(0.8 n) + 1. Shingles that many documents have come last in the order, told from a sample, which decides the cost, not what is near.
+
+Each document is compared with one head of each of its first shingles, so that a large group costs a few comparisons a document. Then those pairs are left
+that links don't join already and whose first common shingle may be one that they share here: so far along both sets that what is behind it
+still suffices. In a group whose members differ too much to be near, each has its own shingles first, and nothing is left. Each pair that is compared is decided
+exactly, and no near pair is lost.
 """
 
 from __future__ import annotations
@@ -19,21 +23,30 @@ from pyspark.sql import functions as F
 
 from sortweave.llm.common import keep, numbered, place_of, utf8
 from sortweave.llm.components import components
+from sortweave.llm.simhash import links as fingerprint_links
+from sortweave.llm.simhash import majority
 
 WORDS, SEED = 5, 42
 #: Similarity as a fraction, so that no rounding decides: at least NEAR / OF.
 NEAR, OF = 4, 5
 #: For the order of shingles only: one in so many documents is sampled, and at most so many frequent shingles are sent.
 SAMPLED, SENT = 16, 200_000
+#: Rounds of heads, before the pairs that are left; they decide the cost, not the result.
+ROUNDS = 2
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct XXH64 of the word shingles; one of all words where they are fewer; none for no words."""
+def _hashes(text: str | None) -> np.ndarray:
+    """XXH64 of the word shingles, repeats included; one of all words where they are fewer; none for no words."""
     w = utf8(text).lower().split()
     if not w:
         return np.zeros(0, np.uint64)
     each = map(b" ".join, zip(*(w[i:] for i in range(WORDS)), strict=False)) if len(w) >= WORDS else [b" ".join(w)]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in each), np.uint64))
+    return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in each), np.uint64)
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles."""
+    return np.unique(_hashes(text))
 
 
 def prefix(hashes: np.ndarray, often: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -52,11 +65,12 @@ def _sets(often):
         for b in batches:
             out = []
             for t in b.column(2):
-                h = shingles(t.as_py())
+                each = _hashes(t.as_py())
+                h = np.unique(each)
                 k = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64)
-                out.append((int(k[0]), int(k[1]), len(h), prefix(h, shingle, count).view(np.int64)))
+                out.append((int(k[0]), int(k[1]), len(h), majority(each), prefix(h, shingle, count).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), *(pa.array([x[i] for x in out], pa.int64()) for i in range(3)), pa.array([x[3] for x in out], pa.list_(pa.int64()))], ["row_id", "doc_id", "k1", "k2", "n", "prefix"]
+                [b.column(0), b.column(1), *(pa.array([x[i] for x in out], pa.int64()) for i in range(4)), pa.array([x[4] for x in out], pa.list_(pa.int64()))], ["row_id", "doc_id", "k1", "k2", "n", "fp", "prefix"]
             )
 
     return run
@@ -108,15 +122,16 @@ def _like(n: str, m: str):
     return F.lit(OF) * F.least(n, m) >= F.lit(NEAR) * F.greatest(n, m)
 
 
-def _may(met: DataFrame) -> DataFrame:
-    """Pairs (a, b), once, of (a, n, b, m), a row for each shingle that the prefixes share: those that may be near by this number.
+def _may(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """Pairs (a, b), once, that may be near by the sizes of their sets and what their prefixes (id, n, prefix) share.
 
     Up to where the first of two prefixes ends, all that both sets have is in both prefixes; behind it there is at most the rest of that set.
     """
-    pairs = met.where(_like("n", "m")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("n"), F.min("m").alias("m"))
+    distinct = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    both = distinct.join(own.toDF("a", "n", "p"), "a").join(own.toDF("b", "m", "q"), "b").where(_like("n", "m"))
     rest = F.ceil(F.lit(NEAR) * F.greatest("n", "m") / F.lit(OF)) - 1
-    most = F.least(F.col("k") + rest, "n", "m")
-    return pairs.where(F.lit(OF) * most >= F.lit(NEAR) * (F.col("n") + F.col("m") - most)).select("a", "b")
+    most = F.least(F.size(F.array_intersect("p", "q")) + rest, "n", "m")
+    return both.where(F.lit(OF) * most >= F.lit(NEAR) * (F.col("n") + F.col("m") - most)).select("a", "b")
 
 
 def _links(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
@@ -129,6 +144,23 @@ def _links(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     return keep(both.mapInArrow(_near, "a bigint, b bigint"), f"{name}-links")
 
 
+def _by_fingerprint(own: DataFrame, bits: int = 2) -> DataFrame:
+    """Pairs (a, b) of (id, fp): each with the first of its fingerprint, and the first ones of fingerprints that anchors bring together."""
+    heads = keep(own.groupBy("fp").agg(F.min("id").alias("head")), "near-fingerprints")
+    alike = own.join(heads, "fp").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    met = keep(fingerprint_links(heads.select("fp"), bits), "near-anchors").toDF("x", "y")
+    across = met.join(heads.toDF("x", "a"), "x").join(heads.toDF("y", "b"), "y").select("a", "b")
+    return alike.unionByName(across)
+
+
+def _by_heads(met: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of (h, id, n, root): a head of each shingle, another one each turn, with those that links don't join to it already."""
+    first = F.min_by(F.struct("id", "n", "root"), F.col("id") if not turn else F.xxhash64(F.lit(turn), "id"))
+    heads = met.groupBy("h").agg(first.alias("head"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h", "head")
+    stars = met.drop("i").join(heads, "h").where((F.col("root") != F.col("head.root")) & (F.lit(OF) * F.least("n", "head.n") >= F.lit(NEAR) * F.greatest("n", "head.n")))
+    return stars.select(F.col("head.id").alias("a"), F.col("id").alias("b"))
+
+
 def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of at least three sampled documents, sorted, and in how many of these they are; the most frequent ones."""
     sample = docs.where(F.pmod(F.xxhash64("row_id"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(_all, "hashes array<bigint>")
@@ -138,7 +170,18 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], n[order]
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def _left(met: DataFrame) -> DataFrame:
+    """Pairs (a, b) of (h, id, n, i, root), i being the shingle's place in the order of its set, that links don't join and whose first common shingle h may be.
+
+    Then all that both sets have is at or behind that place in each, which must be as much as near sets of their sizes share.
+    """
+    x, y = met.toDF("h", "a", "n", "i", "root1"), met.toDF("h", "b", "m", "j", "root2")
+    share = F.ceil(F.lit(NEAR) * (F.col("n") + F.col("m")) / F.lit(NEAR + OF))
+    far_enough = (F.col("n") - F.col("i") >= share) & (F.col("m") - F.col("j") >= share)
+    return x.join(y, "h").where((F.col("a") < F.col("b")) & (F.col("root1") != F.col("root2")) & _like("n", "m") & far_enough).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(row_id, doc_id, component_id, kept) for each row of a kept table (row_id BIGINT, doc_id, text).
 
     Rows link if their shingle sets are equal or near. component_id is the smallest doc_id that links reach; one row of each component is
@@ -148,26 +191,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("row_id", F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     often = spark.sparkContext.broadcast(_frequent(docs))
-    rows = keep(docs.mapInArrow(_sets(often), "row_id bigint, doc_id bigint, k1 bigint, k2 bigint, n bigint, prefix array<bigint>"), "near-rows")
+    rows = keep(docs.mapInArrow(_sets(often), "row_id bigint, doc_id bigint, k1 bigint, k2 bigint, n bigint, fp bigint, prefix array<bigint>"), "near-rows")
     groups = keep(rows.groupBy("k1", "k2").agg(F.min("row_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_id")).alias("first")), "near-groups")
 
     copies = _sent(rows.join(groups.where("copies > 1"), ["k1", "k2"]).where("row_id != id").select("row_id"))
-    own = rows.select("row_id", "n", "prefix").mapInArrow(_without(copies), "row_id bigint, n bigint, prefix array<bigint>")
-    places = own.select(F.col("row_id").alias("id"), "n", F.explode("prefix").alias("h"))
+    single = rows.select("row_id", "n", "fp", "prefix").mapInArrow(_without(copies), "row_id bigint, n bigint, fp bigint, prefix array<bigint>").withColumnRenamed("row_id", "id")
+    single = keep(single, "near-single")
+    own = single.select("id", "n", "prefix")
+    places = single.select("id", "n", F.posexplode("prefix").alias("i", "h"))
     twice = places.groupBy("h").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1").select("h")
-    met = keep(places.join(twice, "h"), "near-met")
-    heads = met.groupBy("h").agg(F.min(F.struct("id", "n")).alias("head"))
-    stars = met.join(heads, "h").where(F.col("id") != F.col("head.id")).select(F.col("head.id").alias("a"), F.col("head.n").alias("n"), F.col("id").alias("b"), F.col("n").alias("m"))
-    first = _links(_may(stars), docs, "near-stars")
-    rest = keep(met.join(keep(components(first), "near-roots"), "id", "left").select("h", "id", "n", F.coalesce("root", "id").alias("root")), "near-rest")
-    x, y = rest.toDF("h", "a", "n", "root1"), rest.toDF("h", "b", "m", "root2")
-    second = _links(_may(x.join(y, "h").where((F.col("a") < F.col("b")) & (F.col("root1") != F.col("root2")) & _like("n", "m")).select("a", "n", "b", "m")), docs, "near-open")
-
-    roots = components(first.union(second))
+    met = keep(places.join(twice, "h").select("h", "id", "n", "i"), "near-met").withColumn("root", F.col("id"))
+
+    links = None
+    for turn in range(rounds + 1):
+        pairs = _by_heads(met, turn) if turn < rounds else _left(met)
+        if links is None:
+            links = _links(_may(pairs.unionByName(_by_fingerprint(single.select("id", "fp"))), own), docs, "near-first")
+        else:
+            links = links.unionByName(_links(_may(pairs, own), docs, "near-more"))
+        roots = keep(components(links), "near-roots")
+        if turn < rounds:
+            met = keep(met.drop("root").join(roots, "id", "left").select("h", "id", "n", "i", F.coalesce("root", "id").alias("root")), "near-met")
+
     rooted = groups.join(roots, groups["id"] == roots["id"], "left").select("k1", "k2", "first", F.coalesce(roots["root"], groups["id"]).alias("root"))
     rooted = keep(rooted, "near-rooted")
     answer = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("least")), "root").select("k1", "k2", F.col("least.doc_id").alias("component_id"), F.col("least.row_id").alias("kept_row"))
-    return rows.drop("prefix", "n").join(answer, ["k1", "k2"]).select("row_id", "doc_id", "component_id", (F.col("row_id") == F.col("kept_row")).alias("kept"))
+    return rows.select("row_id", "doc_id", "k1", "k2").join(answer, ["k1", "k2"]).select("row_id", "doc_id", "component_id", (F.col("row_id") == F.col("kept_row")).alias("kept"))
 
 
 def dedupe(docs: DataFrame) -> DataFrame:

@@ -25,18 +25,23 @@ LENGTH, MESSAGE, RADIUS, GENERATOR = 23, 12, 3, 0b101011100011
 SEED = 42
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Bit i is 1 if it is set in over half of the hashes; 0 for none. As a signed number."""
+    n, counts = len(hashes), np.zeros(64, np.int64)
+    hashes = hashes.astype("<u8", copy=False)
+    for i in range(0, n, 1 << 16):
+        counts += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
+
+
 def fingerprint(text: str | None, words: int = 3) -> int:
     """Bit i is 1 if it is set in over half of the XXH64 of the text's word shingles; 0 for no words."""
     w = utf8(text).lower().split()
     if not w:
         return 0
     shingles = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
-    n = max(1, len(w) - words + 1)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), "<u8", n)
-    counts = np.zeros(64, np.int64)
-    for i in range(0, n, 1 << 16):
-        counts += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+    hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), "<u8", max(1, len(w) - words + 1))
+    return majority(hashes) & (1 << 64) - 1
 
 
 def _fingerprints(words: int):
