@@ -31,6 +31,11 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
+def _short(codes: np.ndarray) -> np.ndarray:
+    """16 bits for each character: its own code, or for one beyond them a place among those of private use, where no letter is."""
+    return np.where(codes <= 0xFFFF, codes, 0xE000 + codes * np.uint32(2654435761) % np.uint32(6400))
+
+
 def characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased letters with single blanks for all else, ORDER - 1 blanks before each text.
 
@@ -42,7 +47,7 @@ def characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     letter, edge = _letters()[codes], codes == 0
     before = np.concatenate([[False], letter[:-1]])
     keep = letter | edge | before
-    codes = np.where(letter, codes & 0xFFFF, _SPACE)[keep].astype(np.uint64)
+    codes = np.where(letter, _short(codes), _SPACE)[keep].astype(np.uint64)
     edge = edge[keep]
     return codes, np.cumsum(edge) // (ORDER - 1) - 1, ~edge
 
@@ -219,9 +224,13 @@ def entropies(model: Models, texts: list[str]) -> tuple[np.ndarray, np.ndarray,
 def calibrate(model: Models, texts: list[str], truth: np.ndarray) -> Models:
     """Sets what cross-entropy is usual and how it spreads with length, and the temperature of the scores."""
     h, n, full = entropies(model, texts)
-    if not full.any():
+    return _fitted(model, h[full], n[full], truth[full])
+
+
+def _fitted(model: Models, h: np.ndarray, n: np.ndarray, truth: np.ndarray) -> Models:
+    """As ``calibrate``, from cross-entropies (text, language), characters and languages of texts with a letter."""
+    if not len(n):
         return model
-    h, n, truth = h[full], n[full], truth[full]
     best = h.min(axis=1)
     model.usual = float(np.average(best, weights=n))
     off = (best - model.usual) ** 2
@@ -235,6 +244,20 @@ def calibrate(model: Models, texts: list[str], truth: np.ndarray) -> Models:
     return model
 
 
+def _scored(sent):
+    """(lang, n, h): characters and cross-entropies in all languages of each text with a letter."""
+
+    def run(batches):
+        for b in batches:
+            for start, length in _slices(b.column(1)):
+                own = b.slice(start, length)
+                h, n, full = entropies(sent.value, own.column(1).to_pylist())
+                arrays = [own.column(0).filter(pa.array(full)), pa.array(n[full]), pa.array(list(h[full]), pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(arrays, ["lang", "n", "h"])
+
+    return run
+
+
 def decide(model: Models, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, score and rejection of each text."""
     if not model.languages:
@@ -244,7 +267,10 @@ def decide(model: Models, texts: list[str | None]) -> tuple[list[str], np.ndarra
     lead = np.exp(-(h - h.min(axis=1, keepdims=True)) * n[:, None] * model.temperature)
     score = np.where(full, 1 / lead.sum(axis=1), 0.0)
     limit = model.usual + REJECT * np.sqrt(model.spread**2 + model.noise / np.maximum(n, 1))
-    return [model.languages[b] if f else "und" for b, f in zip(best, full, strict=True)], score, ~full | (h.min(axis=1) > limit)
+    least = h.min(axis=1)
+    rejected = ~full | (least > limit)
+    score = np.where(rejected & full, score * limit / np.maximum(least, limit), score)  # the further beyond the limit, the less sure
+    return [model.languages[b] if f else "und" for b, f in zip(best, full, strict=True)], score, rejected
 
 
 def _count(batches):
@@ -266,7 +292,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, calibration_docs: int = C
     Of each language about ``train_docs`` documents are used whole, by a hash of the id, and about
     ``calibration_docs`` others to calibrate; languages with fewer are used whole, a fifth of it to calibrate,
     or nothing of it where that would leave none to learn from.
-    N-grams are counted on the executors; the driver gets the sample's distinct n-grams and the calibration texts.
+    N-grams are counted and calibration texts scored on the executors; the driver gets the sample's distinct n-grams and a few numbers a calibration text.
     """
     usable = columns_free_of(docs, ["doc_id", "text", "lang"]).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     lot = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
@@ -286,8 +312,11 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, calibration_docs: int = C
         return Models([])
     languages = sorted(counted["lang"].unique())
     model = kneser_ney(counted["key"].to_numpy(np.int64).view(np.uint64), np.searchsorted(languages, counted["lang"]), counted["n"].to_numpy(np.int64), languages)
-    held = [r for r in sample.where(~trains).select("lang", "text").collect() if r["lang"] in languages]
-    return calibrate(model, [r["text"] for r in held], np.array([languages.index(r["lang"]) for r in held], np.int64)) if held else model
+    held = sample.where(~trains & F.col("lang").isin(languages)).select("lang", "text")
+    found = held.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(model)), "lang string, n bigint, h array<double>").collect()
+    if not found:
+        return model
+    return _fitted(model, np.array([r["h"] for r in found]), np.array([r["n"] for r in found]), np.array([languages.index(r["lang"]) for r in found]))
 
 
 def _predict(model):
