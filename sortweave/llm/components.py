@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sortweave.llm.common import keep
+from sortweave.llm.common import keep, recorded, release
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,10 +74,14 @@ def components(links: DataFrame) -> DataFrame:
     Each round takes every id to the least neighbour of its neighbours and back; paths shrink to stars in a
     number of rounds that grows with the logarithm of the longest. Each round is kept in the shared folder.
     """
-    links = keep(thin(links.where("a <> b")).distinct(), "links")
+    with recorded() as before:
+        links = keep(thin(links.where("a <> b")).distinct(), "links")
     seen = None
     while True:
-        links = keep(_star(_star(links, False), True), "links")
+        with recorded() as now:
+            links = keep(_star(_star(links, False), True), "links")
+        release(links.sparkSession, before)  # read for the last time
+        before = now
         state = tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == seen or not state[0]:
             return links.select(F.col("a").alias("id"), F.col("b").alias("root"))

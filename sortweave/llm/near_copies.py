@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sortweave.llm.common import keep, numbered, place_of, utf8
+from sortweave.llm.common import keep, numbered, place_of, recorded, release, utf8
 from sortweave.llm.components import components
 from sortweave.llm.simhash import links as fingerprint_links
 from sortweave.llm.simhash import majority
@@ -32,7 +32,9 @@ NEAR, OF = 4, 5
 #: For the order of shingles only: one in so many documents is sampled, and at most so many frequent shingles are sent.
 SAMPLED, SENT = 16, 200_000
 #: Rounds of heads, before the pairs that are left; they decide the cost, not the result.
-ROUNDS = 2
+ROUNDS = 1
+#: Ids that are sent to all tasks to pick rows by; more are joined.
+SENT_IDS = 4_000_000
 
 
 def _hashes(text: str | None) -> np.ndarray:
@@ -102,9 +104,14 @@ def _without(sent):
     return run
 
 
-def _sent(ids: DataFrame):
-    """The distinct ids of one column, sorted and sent to all: 8 bytes each, so that no text or set moves only to be picked."""
-    return ids.sparkSession.sparkContext.broadcast(np.sort(ids.distinct().toArrow().column(0).to_numpy()))
+def _picked(table: DataFrame, ids: DataFrame, present: bool = True) -> DataFrame:
+    """Rows of ``table`` whose first column is, or isn't, among the ids of one column. Up to SENT_IDS distinct ids, counted first, are sent to all, so that no
+    text or set moves only to be picked."""
+    ids = keep(ids.toDF("picked").distinct(), "near-ids")
+    if ids.count() > SENT_IDS:
+        return table.join(ids, F.col(table.columns[0]) == F.col("picked"), "left_semi" if present else "left_anti")
+    sent = table.sparkSession.sparkContext.broadcast(np.sort(ids.toArrow().column(0).to_numpy()))
+    return table.mapInArrow((_with if present else _without)(sent), table.schema)
 
 
 def _near(batches):
@@ -127,21 +134,24 @@ def _may(pairs: DataFrame, own: DataFrame) -> DataFrame:
 
     Up to where the first of two prefixes ends, all that both sets have is in both prefixes; behind it there is at most the rest of that set.
     """
-    distinct = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    distinct = keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "near-candidates")
+    own = _picked(own, distinct.select("a").union(distinct.select("b")))
     both = distinct.join(own.toDF("a", "n", "p"), "a").join(own.toDF("b", "m", "q"), "b").where(_like("n", "m"))
     rest = F.ceil(F.lit(NEAR) * F.greatest("n", "m") / F.lit(OF)) - 1
     most = F.least(F.size(F.array_intersect("p", "q")) + rest, "n", "m")
     return both.where(F.lit(OF) * most >= F.lit(NEAR) * (F.col("n") + F.col("m") - most)).select("a", "b")
 
 
-def _links(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """Those of the (a, b) whose sets are near, a kept table. Only the texts that pairs name move."""
-    pairs = keep(pairs, f"{name}-pairs")
-    named = _sent(pairs.select("a").union(pairs.select("b")))
-    texts = keep(docs.select("row_id", "text").mapInArrow(_with(named), "row_id bigint, text string"), f"{name}-texts")
-    left = pairs.join(texts.toDF("a", "x"), "a")
-    both = left.join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return keep(both.mapInArrow(_near, "a bigint, b bigint"), f"{name}-links")
+def _links(pairs: DataFrame, own: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """Those of the pairs (a, b) whose sets are near, a kept table. Only the prefixes and texts that pairs name move."""
+    with recorded() as used:
+        may = keep(_may(pairs, own), f"{name}-pairs")
+        texts = keep(_picked(docs.select("row_id", "text"), may.select("a").union(may.select("b"))), f"{name}-texts")
+        left = may.join(texts.toDF("a", "x"), "a")
+        both = left.join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_near, "a bigint, b bigint")
+    links = keep(both, f"{name}-links")
+    release(docs.sparkSession, used)
+    return links
 
 
 def _by_fingerprint(own: DataFrame, bits: int = 2) -> DataFrame:
@@ -194,9 +204,8 @@ def near_duplicates(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     rows = keep(docs.mapInArrow(_sets(often), "row_id bigint, doc_id bigint, k1 bigint, k2 bigint, n bigint, fp bigint, prefix array<bigint>"), "near-rows")
     groups = keep(rows.groupBy("k1", "k2").agg(F.min("row_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_id")).alias("first")), "near-groups")
 
-    copies = _sent(rows.join(groups.where("copies > 1"), ["k1", "k2"]).where("row_id != id").select("row_id"))
-    single = rows.select("row_id", "n", "fp", "prefix").mapInArrow(_without(copies), "row_id bigint, n bigint, fp bigint, prefix array<bigint>").withColumnRenamed("row_id", "id")
-    single = keep(single, "near-single")
+    copies = rows.join(groups.where("copies > 1"), ["k1", "k2"]).where("row_id != id").select("row_id")
+    single = _picked(rows.select(F.col("row_id").alias("id"), "n", "fp", "prefix"), copies, False)
     own = single.select("id", "n", "prefix")
     places = single.select("id", "n", F.posexplode("prefix").alias("i", "h"))
     twice = places.groupBy("h").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1").select("h")
@@ -206,9 +215,9 @@ def near_duplicates(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     for turn in range(rounds + 1):
         pairs = _by_heads(met, turn) if turn < rounds else _left(met)
         if links is None:
-            links = _links(_may(pairs.unionByName(_by_fingerprint(single.select("id", "fp"))), own), docs, "near-first")
+            links = _links(pairs.unionByName(_by_fingerprint(single.select("id", "fp"))), own, docs, "near-first")
         else:
-            links = links.unionByName(_links(_may(pairs, own), docs, "near-more"))
+            links = links.unionByName(_links(pairs, own, docs, "near-more"))
         roots = keep(components(links), "near-roots")
         if turn < rounds:
             met = keep(met.drop("root").join(roots, "id", "left").select("h", "id", "n", "i", F.coalesce("root", "id").alias("root")), "near-met")

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 import corpus_pipeline
 from sortweave.llm import near_copies
 
@@ -9,7 +11,9 @@ def sets(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-def test_stage_joins_all_near_copies(spark):
+@pytest.mark.parametrize("sent", [near_copies.SENT_IDS, 0])
+def test_stage_joins_all_near_copies(spark, monkeypatch, sent):
+    monkeypatch.setattr(near_copies, "SENT_IDS", sent)
     r = random.Random(3)
     word = lambda: "".join(r.choices("abcdefgh", k=5))
     line = " ".join(word() for _ in range(12))
