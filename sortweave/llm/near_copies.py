@@ -32,7 +32,7 @@ NEAR, OF = 4, 5
 #: For the order of shingles only: one in so many documents is sampled, and at most so many frequent shingles are sent.
 SAMPLED, SENT = 16, 200_000
 #: Rounds of heads, before the pairs that are left; they decide the cost, not the result.
-ROUNDS = 1
+ROUNDS = 2
 #: Ids that are sent to all tasks to pick rows by; more are joined.
 SENT_IDS = 4_000_000
 
@@ -163,11 +163,18 @@ def _by_fingerprint(own: DataFrame, bits: int = 2) -> DataFrame:
     return alike.unionByName(across)
 
 
+def _may_begin(n: str, i: str, m: str, j: str):
+    """Whether a shingle at place i of n and place j of m may be the first that near sets have in common: all that both have is at or behind it in each."""
+    share = F.ceil(F.lit(NEAR) * (F.col(n) + F.col(m)) / F.lit(NEAR + OF))
+    return (F.col(n) - F.col(i) >= share) & (F.col(m) - F.col(j) >= share)
+
+
 def _by_heads(met: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of (h, id, n, root): a head of each shingle, another one each turn, with those that links don't join to it already."""
-    first = F.min_by(F.struct("id", "n", "root"), F.col("id") if not turn else F.xxhash64(F.lit(turn), "id"))
-    heads = met.groupBy("h").agg(first.alias("head"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h", "head")
-    stars = met.drop("i").join(heads, "h").where((F.col("root") != F.col("head.root")) & (F.lit(OF) * F.least("n", "head.n") >= F.lit(NEAR) * F.greatest("n", "head.n")))
+    """Pairs (a, b) of (h, id, n, i, root): a head of each shingle, another one each turn, with those that links don't join to it already and whose first common shingle h may be."""
+    # first the set in which the shingle comes earliest, as it has the fewest of its own before and so is near to the most
+    head = F.min_by(F.struct("id", "n", "i", "root"), F.xxhash64(F.lit(turn), "id") if turn else F.struct("i", "id")).alias("head")
+    heads = met.groupBy("h").agg(head, F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h", "head")
+    stars = met.join(heads, "h").where((F.col("root") != F.col("head.root")) & _like("n", "head.n") & _may_begin("n", "i", "head.n", "head.i"))
     return stars.select(F.col("head.id").alias("a"), F.col("id").alias("b"))
 
 
@@ -181,14 +188,9 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _left(met: DataFrame) -> DataFrame:
-    """Pairs (a, b) of (h, id, n, i, root), i being the shingle's place in the order of its set, that links don't join and whose first common shingle h may be.
-
-    Then all that both sets have is at or behind that place in each, which must be as much as near sets of their sizes share.
-    """
+    """Pairs (a, b) of (h, id, n, i, root), i being the shingle's place in the order of its set, that links don't join and whose first common shingle h may be."""
     x, y = met.toDF("h", "a", "n", "i", "root1"), met.toDF("h", "b", "m", "j", "root2")
-    share = F.ceil(F.lit(NEAR) * (F.col("n") + F.col("m")) / F.lit(NEAR + OF))
-    far_enough = (F.col("n") - F.col("i") >= share) & (F.col("m") - F.col("j") >= share)
-    return x.join(y, "h").where((F.col("a") < F.col("b")) & (F.col("root1") != F.col("root2")) & _like("n", "m") & far_enough).select("a", "b")
+    return x.join(y, "h").where((F.col("a") < F.col("b")) & (F.col("root1") != F.col("root2")) & _like("n", "m") & _may_begin("n", "i", "m", "j")).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
