@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sortweave.llm.common import columns_free_of, keep, running_total
+from sortweave.llm.common import columns_free_of, keep, lean, running_total
 from sortweave.llm.tokens import encoder, vocabulary
 
 DIMENSIONS, BITS, FEATURES = 4, 10, 512
@@ -132,13 +132,13 @@ def pack(docs: DataFrame, length: int = 2048, vocab: bytes | None = None, end_id
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(vocab or vocabulary())  # one vocabulary file: bounded
     rows = columns_free_of(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row_id"))
-    ids = keep(rows.mapInArrow(_tokenise(known, end_id), "doc_id bigint, row_id bigint, key bigint, doc_tokens bigint, width int, ids binary"), "pack-ids")
+    ids = keep(rows.mapInArrow(lean(_tokenise(known, end_id)), "doc_id bigint, row_id bigint, key bigint, doc_tokens bigint, width int, ids binary"), "pack-ids")
     light = ids.select("row_id", "key", "doc_id", "doc_tokens")
     order = [F.col(c) for c in ("key", "doc_id", "doc_tokens", "row_id")]
     placed = running_total(light, order, "doc_tokens", "at", "pack-places").select("row_id", "at")
     whole = ids.join(placed.hint("shuffle_hash"), "row_id").select("doc_id", "at", "key", "doc_tokens", "width", "ids")
     out = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, hilbert_key bigint"
-    return whole.mapInArrow(_cut(length), out)
+    return whole.mapInArrow(lean(_cut(length)), out)
 
 
 def op1_hilbert_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sortweave.llm.common import ascii_crc_bucket, columns_free_of
+from sortweave.llm.common import ascii_crc_bucket, columns_free_of, lean
 
 ORDER = 4
 #: Documents of each language that the models learn from, about, and as many again to calibrate on: a bounded, random sample.
@@ -307,13 +307,13 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, calibration_docs: int = C
     cut = train_docs / wanted
     untrained = [r["lang"] for r in seen if r["least"] / min(1.0, wanted / r["docs"]) >= cut]  # few documents, all for calibration by their lots
     trains = (part < cut) | F.col("lang").isin(untrained)
-    counted = sample.where(trains).select("lang", "text").mapInArrow(_count, "lang string, key bigint, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    counted = sample.where(trains).select("lang", "text").mapInArrow(lean(_count), "lang string, key bigint, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     if counted.empty:
         return Models([])
     languages = sorted(counted["lang"].unique())
     model = kneser_ney(counted["key"].to_numpy(np.int64).view(np.uint64), np.searchsorted(languages, counted["lang"]), counted["n"].to_numpy(np.int64), languages)
     held = sample.where(~trains & F.col("lang").isin(languages)).select("lang", "text")
-    found = held.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(model)), "lang string, n bigint, h array<double>").collect()
+    found = held.mapInArrow(lean(_scored(docs.sparkSession.sparkContext.broadcast(model))), "lang string, n bigint, h array<double>").collect()
     if not found:
         return model
     return _fitted(model, np.array([r["h"] for r in found]), np.array([r["n"] for r in found]), np.array([languages.index(r["lang"]) for r in found]))
@@ -354,7 +354,7 @@ def predict(docs: DataFrame, model: Models, keep: tuple[str, ...] = ("doc_id",))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # the n-grams of the bounded sample
     rows = columns_free_of(docs, [*keep, "text"])
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    return rows.mapInArrow(_predict(sent), schema)
+    return rows.mapInArrow(lean(_predict(sent)), schema)
 
 
 def op7_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -381,4 +381,4 @@ def keep_identified(docs: DataFrame) -> DataFrame:
                 rejected = decide(sent.value, own.column(at).to_pylist())[2]
                 yield own.filter(pa.array(~rejected))
 
-    return placed.mapInArrow(run, placed.schema).toDF(*names)
+    return placed.mapInArrow(lean(run), placed.schema).toDF(*names)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sortweave.llm.common import keep, numbered, place_of, recorded, release, utf8
+from sortweave.llm.common import keep, lean, numbered, place_of, recorded, release, utf8
 from sortweave.llm.components import components
 from sortweave.llm.simhash import links as fingerprint_links
 from sortweave.llm.simhash import majority
@@ -111,7 +111,7 @@ def _picked(table: DataFrame, ids: DataFrame, present: bool = True) -> DataFrame
     if ids.count() > SENT_IDS:
         return table.join(ids, F.col(table.columns[0]) == F.col("picked"), "left_semi" if present else "left_anti")
     sent = table.sparkSession.sparkContext.broadcast(np.sort(ids.toArrow().column(0).to_numpy()))
-    return table.mapInArrow((_with if present else _without)(sent), table.schema)
+    return table.mapInArrow(lean((_with if present else _without)(sent)), table.schema)
 
 
 def _near(batches):
@@ -148,7 +148,7 @@ def _links(pairs: DataFrame, own: DataFrame, docs: DataFrame, name: str) -> Data
         may = keep(_may(pairs, own), f"{name}-pairs")
         texts = keep(_picked(docs.select("row_id", "text"), may.select("a").union(may.select("b"))), f"{name}-texts")
         left = may.join(texts.toDF("a", "x"), "a")
-        both = left.join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_near, "a bigint, b bigint")
+        both = left.join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(lean(_near), "a bigint, b bigint")
     links = keep(both, f"{name}-links")
     release(docs.sparkSession, used)
     return links
@@ -180,7 +180,7 @@ def _by_heads(met: DataFrame, turn: int) -> DataFrame:
 
 def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of at least three sampled documents, sorted, and in how many of these they are; the most frequent ones."""
-    sample = docs.where(F.pmod(F.xxhash64("row_id"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(_all, "hashes array<bigint>")
+    sample = docs.where(F.pmod(F.xxhash64("row_id"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(lean(_all), "hashes array<bigint>")
     counted = sample.select(F.explode("hashes").alias("h")).groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(SENT).toArrow()
     h, n = counted.column(0).to_numpy().view(np.uint64), counted.column(1).to_numpy()
     order = np.argsort(h)
@@ -203,7 +203,7 @@ def near_duplicates(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("row_id", F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     often = spark.sparkContext.broadcast(_frequent(docs))
-    rows = keep(docs.mapInArrow(_sets(often), "row_id bigint, doc_id bigint, k1 bigint, k2 bigint, n bigint, fp bigint, prefix array<bigint>"), "near-rows")
+    rows = keep(docs.mapInArrow(lean(_sets(often)), "row_id bigint, doc_id bigint, k1 bigint, k2 bigint, n bigint, fp bigint, prefix array<bigint>"), "near-rows")
     groups = keep(rows.groupBy("k1", "k2").agg(F.min("row_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_id")).alias("first")), "near-groups")
 
     copies = rows.join(groups.where("copies > 1"), ["k1", "k2"]).where("row_id != id").select("row_id")

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sortweave.llm.common import columns_free_of, keep, new_path, running_total
+from sortweave.llm.common import columns_free_of, keep, lean, new_path, running_total
 from sortweave.llm.tokens import encoder, vocabulary
 
 SCHEMA = "row_id bigint, doc_id bigint, ids array<int>"
@@ -48,7 +48,7 @@ def write_orc(docs: DataFrame, path: str, vocab: bytes | None = None, end_id: in
     known = spark.sparkContext.broadcast(vocab or vocabulary())  # one vocabulary file: bounded
     rows = columns_free_of(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("_h"))
     ranged = rows.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
-    out = ranged.mapInArrow(_encode(known, end_id), SCHEMA).write
+    out = ranged.mapInArrow(lean(_encode(known, end_id)), SCHEMA).write
     options = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": str(index_rows), "orc.stripe.size": str(stripe_bytes)}
     out.options(**options).orc(path)
 
@@ -71,7 +71,7 @@ def _digest(batches):
 def digests(stored: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of the stored rows, in file order."""
     # kept, as dealing rows out by ranges reads them twice
-    light = keep(stored.mapInArrow(_digest, "row_id bigint, doc_id bigint, n_tokens bigint, ids_crc32 bigint"), "orc-lengths")
+    light = keep(stored.mapInArrow(lean(_digest), "row_id bigint, doc_id bigint, n_tokens bigint, ids_crc32 bigint"), "orc-lengths")
     return running_total(light, [F.col("row_id")], "n_tokens", "start", "orc-digests").select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sortweave.llm.common import columns_free_of, keep, numbered, place_of, utf8
+from sortweave.llm.common import columns_free_of, keep, lean, numbered, place_of, utf8
 from sortweave.llm.components import components
 
 #: Fixed values of the code: length, message bits, covering radius, generator polynomial x^11+x^9+x^7+x^6+x^5+x+1.
@@ -139,7 +139,7 @@ def fingerprints(docs: DataFrame, words: int = 3, row: str | None = None) -> Dat
     """(row_id, doc_id, fp BIGINT) of each row of (doc_id, text), kept in the shared folder. ``row``: a column that numbers the rows."""
     number = F.col(row) if row else F.monotonically_increasing_id()
     rows = columns_free_of(docs, ["doc_id", "text", *([row] if row else [])]).select(number.alias("row_id"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return keep(rows.mapInArrow(_fingerprints(words), "row_id bigint, doc_id bigint, fp bigint"), "simhash")
+    return keep(rows.mapInArrow(lean(_fingerprints(words)), "row_id bigint, doc_id bigint, fp bigint"), "simhash")
 
 
 def links(distinct_fps: DataFrame, bits: int = 2) -> DataFrame:
