@@ -9,6 +9,8 @@ components falls gradually as texts differ.
 from __future__ import annotations
 
 import hashlib
+import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sortweave.llm.common import columns_free_of, keep, utf8
+from sortweave.llm.common import columns_free_of, keep, lean, utf8
 
 #: Share of documents with a term, from rare to common: the band is ln(1/0.05) to ln(1/0.0001) of idf; a term is in 2 documents at least.
 RARE, COMMON, FEWEST = 1e-4, 0.05, 2
@@ -120,36 +122,60 @@ def lexicon(docs: DataFrame, rare: float = RARE, common: float = COMMON, fewest:
 
     Of documents with d distinct terms each on average, d / rare terms at most are in the band. Counts are over all documents.
     """
-    counts = columns_free_of(docs, ["text"]).mapInArrow(_count(), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    counts = columns_free_of(docs, ["text"]).mapInArrow(lean(_count()), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
     total = docs.count()
     return keep(counts.where((F.col("n") >= max(fewest, rare * total)) & (F.col("n") <= max(fewest, common * total))).select("term"), "lexicon")
 
 
-def _bucket(bounds: list[int]) -> Column:
-    at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0)
-    return F.coalesce(F.when(F.col("doc_id").isNotNull(), at), F.lit(0))
+def _below(bounds: list[int]) -> Column:
+    """How many of the sorted bounds are less than doc_id, by a search in steps of the square root of their number."""
+    if not bounds:
+        return F.lit(0)
+    step = math.isqrt(len(bounds)) + 1
+    less = lambda b: b < F.col("doc_id")
+    steps = F.size(F.filter(F.array(*map(F.lit, bounds[::step])), less))
+    rest = F.slice(F.array(*map(F.lit, bounds)), F.greatest(steps - 1, F.lit(0)) * step + 1, F.lit(step))
+    return F.when(steps == 0, 0).otherwise((steps - 1) * step + F.size(F.filter(rest, less)))
+
+
+def ranges(rows: DataFrame, n: int) -> tuple[Column, int]:
+    """The range of each of (doc_id, h), ascending with (doc_id, null first; h), and how many there are, about ``n``.
+
+    An id, or null, with more rows than a range should have is a range of its own, split by equal stretches of the hashes h.
+    """
+    total, known = rows.agg(F.count(F.lit(1)), F.count("doc_id")).first()
+    cuts = rows.select("doc_id").where("doc_id is not null").stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if known else []
+    times = Counter(min(int(c), 2**63 - 1) for c in cuts)
+    hot = {c for c, k in times.items() if k > 1}
+    bounds = sorted(set(times) | {c - 1 for c in hot if c > -(2**63)})
+    parts = [math.ceil(n * (total - known) / max(1, total)) or 1, *(times[b] + 1 if b in hot else 1 for b in bounds), 1]
+    starts = np.cumsum([0, *parts]).tolist()
+    at = F.when(F.col("doc_id").isNull(), 0).otherwise(_below(bounds) + 1)
+    split, start = F.get(F.array(*map(F.lit, parts)), at), F.get(F.array(*map(F.lit, starts)), at)
+    stretch = F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * split)
+    return (start + F.least(stretch, split - 1)).cast("int"), starts[-1]
 
 
 def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(bucket, look, doc_id, h, text), dealt out and sorted so that a row's next document comes right after it.
+    """(bucket, look, doc_id, h, text), dealt out and sorted so that a row's next document comes right after it; and the number of partitions.
 
-    Order: descending doc_id, null last; rows of one id by descending hash of the text. Documents go to ranges of ids;
-    the first row of each range is also sent, as a look-ahead, to the range before it (the very first to the last).
+    Order: descending doc_id, null last; rows of one id by descending hash of the text. Documents go to ranges of ids and
+    hashes, one a partition, so rows of one id, or without one, spread by their texts; the first row of each range is also sent, as a look-ahead, to the range before it (the very first to the last).
     The texts are shuffled once. Only one row of ids for each range reaches the driver.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = columns_free_of(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
-    cuts = rows.select("doc_id").where("doc_id is not null").stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)
-    rows = rows.withColumn("bucket", _bucket(sorted({int(c) for c in cuts})))
+    bucket, n = ranges(rows, n)
+    rows = rows.withColumn("bucket", bucket)
     heads = rows.groupBy("bucket").agg(F.max(F.struct("doc_id", "h")).alias("m")).orderBy("bucket").collect()
     before = [(r["m"]["doc_id"], r["m"]["h"], heads[(i + 1) % len(heads)]["bucket"]) for i, r in enumerate(heads)]
     looks = F.broadcast(spark.createDataFrame(before, "_id bigint, _h bigint, _to int"))  # a row for each range
     joined = rows.join(looks, rows["doc_id"].eqNullSafe(looks["_id"]) & (F.col("h") == F.col("_h")), "left")
     own, ahead = F.struct(F.col("bucket"), F.lit(False).alias("look")), F.struct(F.col("_to").alias("bucket"), F.lit(True).alias("look"))
     dealt = joined.withColumn("e", F.explode(F.when(F.col("_to").isNotNull(), F.array(own, ahead)).otherwise(F.array(own))))
-    dealt = dealt.select("e.bucket", "e.look", "doc_id", "h", "text").repartition(n, "bucket")
+    dealt = dealt.select("e.bucket", "e.look", "doc_id", "h", "text").repartitionById(n, "bucket")
     return dealt.sortWithinPartitions("bucket", "look", F.col("doc_id").desc_nulls_last(), F.col("h").desc()), n
 
 
@@ -233,7 +259,7 @@ def fingerprints(docs: DataFrame, sent_terms: int = SENT_TERMS) -> DataFrame:
 
     Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint (4 hex digits a component), near_edited, near_next.
     Equal texts have equal fingerprints. Null texts are empty; a text without any term has components of 0 only.
-    Null doc_ids come last; repeated ids follow one another; a lone document is its own next one; an empty table gives
+    Null doc_ids come last; repeated ids follow one another by descending XXH64 of the text; a lone document is its own next one; an empty table gives
     none; further columns are left out. A lexicon beyond ``sent_terms`` is joined with the documents' terms instead of sent.
     """
     spark = docs.sparkSession
@@ -241,7 +267,7 @@ def fingerprints(docs: DataFrame, sent_terms: int = SENT_TERMS) -> DataFrame:
     dealt, _ = with_next(docs)
     if (size := band.count()) <= sent_terms:
         known = np.sort(band.toPandas()["term"].to_numpy(np.int64).view(np.uint64)) if size else np.zeros(0, np.uint64)
-        return dealt.mapInArrow(_direct(spark.sparkContext.broadcast(known)), RESULT)
+        return dealt.mapInArrow(lean(_direct(spark.sparkContext.broadcast(known))), RESULT)
     loose = keep(dealt.mapInArrow(_loose, "row bigint, doc_id bigint, n_chars bigint, edited_sha256 string, t0 array<bigint>, t1 array<bigint>, t2 array<bigint>"), "imatch-terms")
     used = None
     for i in range(3):
